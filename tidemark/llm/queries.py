@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, quality_rules
+from tidemark.llm import decontamination, packing, quality_rules
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -84,3 +84,9 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n
        sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
+
+
+@_query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces packed into sequences of 4096 tokens."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
