@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, packing, quality_rules
+from tidemark.llm import decontamination, near_dedup, packing, quality_rules
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -90,3 +90,9 @@ FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces packed into sequences of 4096 tokens."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
