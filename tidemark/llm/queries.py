@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, near_dedup, packing, pii, quality_rules
+from tidemark.llm import chat_format, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -138,3 +138,9 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(4 + length(role) + 2 + length(escaped) + 8)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@_query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
