@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules
+from tidemark.llm import chat_format, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -144,3 +144,51 @@ FROM e GROUP BY conv_id
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: A page shows the document whose number its path ends in; that document's labels are the page's outcome.
+_DOCUMENT = "^.*?://[^/?#]*/[a-z]+/([0-9]{1,18})"
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page urls."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = pages.select("page_id", F.regexp_extract("url", _DOCUMENT, 1).try_cast("long").alias("doc_id")).where("doc_id is not null")
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return url_filter.judge(pages, shown.join(labels, "doc_id").select("page_id", "bad"))
+
+
+def _rules_sql(rules, what: str) -> str:
+    """The longest fitting rule as a CASE, tried from the longest."""
+    ordered = sorted(rules, key=lambda r: (len(r.name), len(r.host), r.name), reverse=True)
+    fits = "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '{1}')"
+    return "CASE " + " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{r.name if what == 'name' else r.verdict}'" for r in ordered) + " END"
+
+
+def _level_sql(children: str, parents: str, key: str) -> str:
+    """Children joined to their parents' means, with the level's concentration and posterior means."""
+    joined = f"(SELECT c.*, p.mean AS above FROM {children} c JOIN {parents} p USING ({key}))"
+    kappa = f"(SELECT {url_filter.KAPPA_SQL} FROM (SELECT {url_filter.RHO_SQL} AS rho FROM {joined}))"
+    return f"SELECT *, (bad + kappa * above) / (n + kappa) AS mean FROM (SELECT *, {kappa} AS kappa FROM {joined})"
+
+
+ORACLES["op4_url_filter"] = rf"""
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (SELECT p.page_id, host, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 WHEN l.quality IS NOT NULL AND l.toxic IS NOT NULL THEN 0 END AS bad
+      FROM p LEFT JOIN labels l ON l.doc_id = try_cast(regexp_extract(url, '{_DOCUMENT}', 1) AS BIGINT)),
+h0 AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM o GROUP BY host),
+h1 AS (SELECT *, {url_filter.domain_sql('host')} AS domain FROM h0),
+h AS (SELECT *, {url_filter.suffix_sql('domain')} AS suffix FROM h1),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, 1 AS root FROM d GROUP BY suffix),
+r AS (SELECT 1 AS root, (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM s),
+sm AS ({_level_sql('s', 'r', 'root')}),
+dm AS ({_level_sql('d', '(SELECT suffix, mean FROM sm)', 'suffix')}),
+hm AS ({_level_sql('h', '(SELECT domain, mean FROM dm)', 'domain')}),
+b AS (SELECT host FROM hm WHERE 1 / (1 + exp(-{url_filter.lower_bound_sql('(bad + kappa * above)', '(n - bad + kappa * (1 - above))')})) > {url_filter.LIMIT})
+SELECT page_id, host, path, {_rules_sql(url_filter.RULES, 'name')} AS rule,
+       coalesce({_rules_sql(url_filter.RULES, 'verdict')}, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM p
+"""
