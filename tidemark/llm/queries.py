@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
+from tidemark.llm import chat_format, decontamination, html_extract, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -192,3 +192,9 @@ b AS (SELECT host FROM hm WHERE 1 / (1 + exp(-{url_filter.lower_bound_sql('(bad
 SELECT page_id, host, path, {_rules_sql(url_filter.RULES, 'name')} AS rule,
        coalesce({_rules_sql(url_filter.RULES, 'verdict')}, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM p
 """
+
+
+@_query
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
