@@ -22,6 +22,7 @@ import gc
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -49,8 +50,18 @@ def _ranges(kind: str) -> str:
     return "".join(f"\\u{c:04x}" for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
+def _needs_tokenizer(text: str) -> bool:
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            return False
+        except UnicodeEncodeError:
+            pass
+    return _RARE.search(text) is not None
+
+
 #: Outside these characters, and at these marks, the tokenizer reads the whole text itself.
-_RARE = re.compile("[^\x00-ɏ]|İ|<\\|(?:startoftext|endoftext)\\|>", re.IGNORECASE)
+_RARE = re.compile("[^\x00-ɏ]|İ|<\\|(?:startoftext|endoftext)\\|>")
 #: The vocabulary's own splitting rule, for characters below U+0250.
 _SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_ranges('L')}]+|[{_ranges('N')}]|[^\\t-\\r \\x85\\xa0{_ranges('L')}{_ranges('N')}]+")
 
@@ -71,25 +82,38 @@ class WordTokens:
 
     def _learn(self, words: list[str]) -> None:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.new[word] = np.array(found.ids, dtype="<u4").tobytes()
+            self.new[word] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        split = [None if _RARE.search(t) else _SPLIT.findall(t.lower()) for t in texts]
-        wanted = set()
-        for words in split:
-            if words:
-                wanted.update(words)
-        wanted -= self.new.keys()
-        again = wanted & self.old.keys()
+        out: list = [None] * len(texts)
+        whole, unknown, gaps = [], set(), []
+        get = self.new.get
+        for i, text in enumerate(texts):
+            if _needs_tokenizer(text):
+                whole.append(i)
+                continue
+            words = _SPLIT.findall(text.lower())
+            found = out[i] = list(map(get, words))
+            at = -1
+            try:
+                while True:
+                    at = found.index(None, at + 1)
+                    gaps.append((found, at, words[at]))
+                    unknown.add(words[at])
+            except ValueError:
+                pass
+        again = unknown & self.old.keys()
         for word in again:
             self.new[word] = self.old[word]
-        self._learn(list(wanted - again))
-        get = self.new.__getitem__
-        whole = [t for t, words in zip(texts, split) if words is None]
-        rest = iter([np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)] if whole else [])
-        return [next(rest) if words is None else b"".join(map(get, words)) for words in split]
+        self._learn(list(unknown - again))
+        for found, at, word in gaps:
+            found[at] = self.new[word]
+        if whole:
+            for i, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+                out[i] = [array("I", found.ids).tobytes()]
+        return [b"".join(found) for found in out]
 
 
 _workers_tokens: dict[int, WordTokens] = {}
