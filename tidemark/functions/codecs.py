@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import bit_width, varint_length, zigzag
 from tidemark.model import DataType
@@ -46,14 +47,14 @@ def _order(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("time", "seq")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def double_bits(values: pd.Series) -> pd.Series:
     """The bits of a double as a whole number; every NaN, and null, as the canonical NaN."""
     found = values.to_numpy(dtype="float64", na_value=np.nan)
     return pd.Series(np.where(np.isnan(found), np.int64(0x7FF8000000000000), found.view(np.int64)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def double_of_bits(bits: pd.Series) -> pd.Series:
     """The double with these bits."""
     return pd.Series(bits.to_numpy(dtype="int64").view(np.float64))

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.model import parse_path
 
@@ -21,7 +22,7 @@ def split_path(path: Column) -> Column:
     return F.when(path == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(path, "[.]"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_quoted_path(paths: pd.Series) -> pd.Series:
     """Segments of a path that may quote dots with backticks; null for null."""
     return paths.map(lambda p: None if p is None else parse_path(p))
@@ -62,7 +63,7 @@ def varint_length(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(bit_width(n) / 7).cast("int"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def varint(numbers: pd.Series) -> pd.Series:
     """An unsigned 64-bit number in groups of seven bits, lowest first."""
     def one(n):
@@ -77,7 +78,7 @@ def varint(numbers: pd.Series) -> pd.Series:
     return numbers.astype(object).map(one)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def unvarint(octets: pd.Series) -> pd.Series:
     """The number that ``varint`` was given, as signed 64 bits."""
     def one(b):
@@ -113,7 +114,7 @@ def bloom_bits(entries: int, error: float) -> int:
 
 def bloom_positions(bits: int):
     """A column function: the bits that a device path sets."""
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def positions(paths: pd.Series) -> pd.Series:
         return paths.map(lambda p: None if p is None else [murmur3(p.encode(), s) % bits for s in BLOOM_SEEDS])
 

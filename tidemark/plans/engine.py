@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import Filter
-from tidemark.model import DataType, InvalidArgError, NotFoundError, parse_path
+from tidemark.model import DataType, InvalidArgError, NotFoundError, format_path, parse_path
 from tidemark.operators import scan
 from tidemark.sources import catalog
 from tidemark.sources.store import Reader
@@ -61,6 +61,8 @@ class TsEngine:
         wanted = [F.array(*map(F.lit, p)).cast("array<string>") for p in paths]
         here = F.col("device").isin(wanted) if len(wanted) > 1 else F.col("device") == wanted[0]
         known = {(tuple(r["device"]), r["measurement"]): r["type"] for r in self.reader.index().where(here).select("device", "measurement", "type").collect()}  # the asked devices' series
+        # The path as text reaches the scan: row groups are pruned by its range and its bloom filter.
+        stored = F.col("device_path").isin([format_path(p) for p in paths])
         kinds: list[DataType] = []
         for p in paths:
             if not any(d == tuple(p) for d, _ in known):
@@ -72,13 +74,13 @@ class TsEngine:
         if len(is_aligned) > 1:
             raise InvalidArgError("aligned and non-aligned devices in one query")
         if is_aligned == {True}:
-            return self._aligned(here, measurements, flt)
+            return self._aligned(stored, measurements, flt)
         for m in measurements:
             found = {known[tuple(p), m] for p in paths}
             if len(found) > 1:
                 raise InvalidArgError(f"measurement {m} has several types")
             kinds.append(DataType[found.pop()])
-        legs = [self.reader.series(k).where(here & (F.col("measurement") == m)).select("device", "time", "seq", "value") for k, m in zip(kinds, measurements)]
+        legs = [self.reader.series(k).where(stored & (F.col("measurement") == m)).select("device", "time", "seq", "value") for k, m in zip(kinds, measurements)]
         if len(measurements) == 1:
             return scan.in_order(scan.series(legs[0], measurements[0], flt))
         return scan.in_order(scan.merge(legs, measurements, flt))

@@ -243,12 +243,14 @@ def aligned_same_twice(spark, sf_dir):
 
 _STATS = "count(value) AS count, min(time) FILTER (value IS NOT NULL) AS start_time, max(time) FILTER (value IS NOT NULL) AS end_time, arg_min(value, (time, seq)) AS first, arg_max(value, (time, seq)) AS last"
 _NUMERIC = _STATS + ", min(value) FILTER (NOT isnan(value::DOUBLE)) AS min, max(value) FILTER (NOT isnan(value::DOUBLE)) AS max, round(sum(value::DOUBLE), 2) AS sum"
-_ROUND = F.round("sum", 2)
+def _rounded(df):
+    return df.withColumn("sum", F.round("sum", 2))
+
 
 
 @_query(f"SELECT device, measurement, {_NUMERIC} FROM {_EV} GROUP BY device, measurement")
 def series_stats(spark, sf_dir):
-    return stats.series_stats(events(spark, sf_dir), DataType.DOUBLE, ["device", "measurement"]).withColumn("sum", _ROUND)
+    return _rounded(stats.series_stats(events(spark, sf_dir), DataType.DOUBLE, ["device", "measurement"]))
 
 
 @_query("""SELECT device, count(value) AS count, min(time) AS start_time, max(time) AS end_time, arg_min(value, (time, seq)) AS first, arg_max(value, (time, seq)) AS last, sum(value::BIGINT)::BIGINT AS sum
@@ -268,7 +270,7 @@ def text_stats(spark, sf_dir):
 FROM (SELECT o_custkey AS device, epoch_us(o_orderdate) AS time, o_orderkey AS seq, o_orderkey % 1000 AS value FROM orders) GROUP BY device""")
 def int_stats(spark, sf_dir):
     legs = orders_aligned(spark, sf_dir).select("device", "time", "seq", (F.col("seq") % 1000).alias("value"))
-    return stats.series_stats(legs, DataType.INT64, ["device"]).withColumn("sum", _ROUND)
+    return _rounded(stats.series_stats(legs, DataType.INT64, ["device"]))
 
 
 @_query(f"SELECT device, count({'v'}) AS count, min(time) FILTER (v IS NOT NULL) AS start_time, max(time) FILTER (v IS NOT NULL) AS end_time, min(v) FILTER (NOT isnan(v)) AS min, max(v) FILTER (NOT isnan(v)) AS max FROM (SELECT user_id AS device, epoch_us(ts) AS time, event_id AS seq, {_HOLED} AS v FROM events) GROUP BY device")
@@ -288,13 +290,13 @@ _SMALL = 5
 
 @_query(f"SELECT device, measurement, chunk, page, {_NUMERIC} FROM {_PAGES.format(_SMALL)} GROUP BY device, measurement, chunk, page")
 def page_stats(spark, sf_dir):
-    return stats.page_stats(events(spark, sf_dir), DataType.DOUBLE, ["device", "measurement"], _SMALL, PER_CHUNK).withColumn("sum", _ROUND)
+    return _rounded(stats.page_stats(events(spark, sf_dir), DataType.DOUBLE, ["device", "measurement"], _SMALL, PER_CHUNK))
 
 
 @_query(f"SELECT device, measurement, chunk, {_NUMERIC} FROM {_PAGES.format(_SMALL)} GROUP BY device, measurement, chunk")
 def chunk_stats(spark, sf_dir):
     """Chunk statistics, merged from page statistics."""
-    return _chunks(spark, sf_dir).withColumn("sum", _ROUND)
+    return _rounded(_chunks(spark, sf_dir))
 
 
 def _chunks(spark, sf_dir):
@@ -306,7 +308,7 @@ def _chunks(spark, sf_dir):
 @_query(f"SELECT device, measurement, {_NUMERIC} FROM {_EV} GROUP BY device, measurement")
 def stats_merge(spark, sf_dir):
     """Series statistics, merged from pages to chunks to series."""
-    return stats.merge_stats(_chunks(spark, sf_dir), DataType.DOUBLE, ["device", "measurement"], "chunk").withColumn("sum", _ROUND)
+    return _rounded(stats.merge_stats(_chunks(spark, sf_dir), DataType.DOUBLE, ["device", "measurement"], "chunk"))
 
 
 _CHUNK_SQL = f"(SELECT device, measurement, chunk, {_NUMERIC} FROM {_PAGES.format(_SMALL)} GROUP BY device, measurement, chunk)"
