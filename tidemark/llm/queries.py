@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, html_extract, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
+from tidemark.llm import chat_format, decontamination, html_extract, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -198,3 +198,14 @@ SELECT page_id, host, path, {_rules_sql(url_filter.RULES, 'name')} AS rule,
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in all documents."""
+    rows = license_scan.scan(table(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["licence"], m["start"].cast("string"), m["end"].cast("string")))
+    return rows.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"]))), ",").alias("licences"), F.array_join(spans, ",").alias("spans"),
+    )
