@@ -168,9 +168,9 @@ def _rules_sql(rules, what: str) -> str:
 
 def _level_sql(children: str, parents: str, key: str) -> str:
     """Children joined to their parents' means, with the level's concentration and posterior means."""
-    joined = f"(SELECT c.*, p.mean AS above FROM {children} c JOIN {parents} p USING ({key}))"
+    joined = f"(SELECT c.*, p.mean AS above, p.n AS n_above FROM {children} c JOIN {parents} p USING ({key}))"
     kappa = f"(SELECT {url_filter.KAPPA_SQL} FROM (SELECT {url_filter.RHO_SQL} AS rho FROM {joined}))"
-    return f"SELECT *, (bad + kappa * above) / (n + kappa) AS mean FROM (SELECT *, {kappa} AS kappa FROM {joined})"
+    return f"SELECT *, (bad + kappa * above) / (n + kappa) AS mean FROM (SELECT *, least({kappa}, n_above + 1) AS kappa FROM {joined})"
 
 
 ORACLES["op4_url_filter"] = rf"""
@@ -184,10 +184,10 @@ h1 AS (SELECT *, {url_filter.domain_sql('host')} AS domain FROM h0),
 h AS (SELECT *, {url_filter.suffix_sql('domain')} AS suffix FROM h1),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, 1 AS root FROM d GROUP BY suffix),
-r AS (SELECT 1 AS root, (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM s),
+r AS (SELECT 1 AS root, {url_filter.ROOT_SQL} AS mean, sum(n) AS n FROM s),
 sm AS ({_level_sql('s', 'r', 'root')}),
-dm AS ({_level_sql('d', '(SELECT suffix, mean FROM sm)', 'suffix')}),
-hm AS ({_level_sql('h', '(SELECT domain, mean FROM dm)', 'domain')}),
+dm AS ({_level_sql('d', '(SELECT suffix, mean, n FROM sm)', 'suffix')}),
+hm AS ({_level_sql('h', '(SELECT domain, mean, n FROM dm)', 'domain')}),
 b AS (SELECT host FROM hm WHERE 1 / (1 + exp(-{url_filter.lower_bound_sql('(bad + kappa * above)', '(n - bad + kappa * (1 - above))')})) > {url_filter.LIMIT})
 SELECT page_id, host, path, {_rules_sql(url_filter.RULES, 'name')} AS rule,
        coalesce({_rules_sql(url_filter.RULES, 'verdict')}, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM p

@@ -92,17 +92,22 @@ def lower_bound_sql(a: str, b: str) -> str:
     return f"({_digamma(a)} - {_digamma(b)} - {QUANTILE} * sqrt({_trigamma(a)} + {_trigamma(b)}))"
 
 
+#: The rate of all labels: before any, one bad page in 20.
+ROOT_SQL = "(sum(bad) + 1) / (sum(n) + 20)"
 #: The moment estimate of a level's concentration from rows with n, bad and the mean of the level above.
 RHO_SQL = "coalesce(sum((bad - n * above) * (bad - n * above) - n * above * (1 - above)) / nullif(sum(n * (n - 1) * above * (1 - above)), 0), 0)"
 KAPPA_SQL = f"1 / greatest({LEAST_RHO}, least({MOST_RHO}, rho)) - 1"
 
 
 def _level(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Posterior means of a level: children have n, bad and the parent's key; parents have the key and a mean."""
-    rows = children.join(parents, key).withColumnRenamed("mean", "above")
+    """Posterior means of a level: children have n, bad and the parent's key; parents have the key, a mean and their own n.
+
+    A parent counts for no more labels than it has.
+    """
+    rows = children.join(parents.withColumnRenamed("n", "n_above"), key).withColumnRenamed("mean", "above")
     kappa = rows.agg(F.expr(RHO_SQL).alias("rho")).select(F.expr(KAPPA_SQL).alias("kappa"))
     strength = kappa.first()["kappa"]  # one number
-    return rows.withColumn("kappa", F.lit(float(strength))).withColumn("mean", F.expr("(bad + kappa * above) / (n + kappa)"))
+    return rows.withColumn("kappa", F.least(F.lit(float(strength)), F.col("n_above") + 1)).withColumn("mean", F.expr("(bad + kappa * above) / (n + kappa)"))
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
@@ -116,11 +121,11 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts, _ = written(hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit(1))
-    root = suffixes.groupBy("root").agg(F.expr("(sum(bad) + 0.5) / (sum(n) + 1)").alias("mean"))
+    root = suffixes.groupBy("root").agg(F.expr(ROOT_SQL).alias("mean"), F.sum("n").alias("n"))
     if hosts.isEmpty():
         return hosts.select("host", "n", "bad", *(F.lit(0.0).alias(c) for c in ("above", "kappa", "mean", "lower")))
-    suffix_means = _level(suffixes, root, "root").select("suffix", "mean")
-    domain_means = _level(domains, suffix_means, "suffix").select("domain", "mean")
+    suffix_means = _level(suffixes, root, "root").select("suffix", "mean", "n")
+    domain_means = _level(domains, suffix_means, "suffix").select("domain", "mean", "n")
     out = _level(hosts, domain_means, "domain")
     bound = lower_bound_sql("(bad + kappa * above)", "(n - bad + kappa * (1 - above))")
     return out.select("host", "n", "bad", "above", "kappa", "mean", F.expr(f"1 / (1 + exp(-{bound}))").alias("lower"))
