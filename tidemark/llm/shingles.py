@@ -15,15 +15,20 @@ _BACK = pow(_STEP, -1, 1 << 64)
 _PLACE = _rng.integers(0, 1 << 64, WIDTH, dtype=np.uint64) | np.uint64(1)
 _SHORT = _rng.integers(0, 1 << 64, WIDTH, dtype=np.uint64)
 
+#: Powers that are kept; a longer text has its own made.
+_KEPT = 1 << 21
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[base][:n]
+    if base in _powers and n <= _KEPT:
+        return _powers[base][:n]
+    steps = np.full(max(n, _KEPT), base, dtype=np.uint64)
+    steps[0] = 1
+    np.cumprod(steps, dtype=np.uint64, out=steps)
+    if n <= _KEPT:
+        _powers[base] = steps
+    return steps[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +75,14 @@ def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), np.cumsum(sizes)
 
 
-def by_bytes(texts: list[bytes | None], most: int = 1 << 21):
+def many_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of any number of texts, a bounded part at a time."""
+    parts = [shingle_sets(texts[a:b]) for a, b in by_bytes(texts)]
+    sizes = np.concatenate([[0], *(np.diff(bounds) for _, bounds in parts)]).astype(np.int64)
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *(sets for sets, _ in parts)]), np.cumsum(sizes)
+
+
+def by_bytes(texts: list[bytes | None], most: int = 1 << 20):
     """Ranges of texts that hold about so many bytes each; one text may hold more."""
     at, held = 0, 0
     for i, t in enumerate(texts):
