@@ -4,12 +4,12 @@ Each permutation is evaluated once and gives two signature values, the least
 and the greatest hash of the set. Bands of four values, from four different
 permutations, make buckets. Texts with equal sets are one class from the start.
 
-Pairs of a bucket are never listed. Each bucket's classes are compared with a
-pivot of the bucket; components of the confirmed links then close all buckets
-whose other classes lie in one component. Buckets still open get another pivot,
-drawn anew in each band, against classes of other components only. What is open
-after that is compared in blocks of bounded size on 64-byte sketches, and pairs
-that may link are confirmed. Links are confirmed on full sets throughout.
+Pairs of a bucket are never listed. Each bucket's classes are compared with the
+bucket's pivot; components of the confirmed links then close all buckets whose
+other classes lie in one component. What is still open is compared in blocks of
+bounded size: first on 64-byte sketches, which leave the classes that have a
+possible partner in another component, then on full sets, which give the links.
+Links are confirmed on full sets throughout.
 """
 
 from __future__ import annotations
@@ -22,17 +22,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 from tidemark.llm.components import components
-from tidemark.llm.shingles import by_bytes, mix, shingle_sets
+from tidemark.llm.shingles import by_bytes, many_sets, mix, shingle_sets
 
 #: A link needs 100 * common >= PERCENT * union.
 PERCENT = 75
 PERMUTATIONS = 64
 #: Bands of four values: a pair at the threshold meets in none of them with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS = 32
-#: Classes of a block when open buckets are compared.
+#: Classes, and about so many shingles, of a block when open buckets are compared.
 BLOCK = 1000
-#: Sketches of 128 four-bit values: a linked pair agrees on fewer than 62 with probability below 1e-9.
-LEAST_AGREEING = 62
+BLOCK_SHINGLES = 250_000
+#: Sketches of 128 four-bit values: a linked pair agrees on 98 in the mean, and on fewer than these with probability below 1e-9.
+LEAST_AGREEING = 68
 
 _rng = np.random.default_rng(75)
 _A = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -127,11 +128,27 @@ def _confirm_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _sketch_batches(batches):
+    """Rows (a, b, sketch_a, sketch_b): pairs whose sketches allow a link."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+        same = np.count_nonzero((x >> 4) == (y >> 4), axis=1) + np.count_nonzero((x & 15) == (y & 15), axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same >= LEAST_AGREEING))
+
+
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link; written."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").where(_near_sizes("n_a", "n_b"))
+    return written(rows.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_sketch_batches, "a long, b long"))[0]
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets link; written."""
     text_b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
     text_a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-    rows = pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
+    # Pairs follow the data, so they are never broadcast, however few there are.
+    rows = pairs.hint("merge").join(text_b, "b").hint("merge").join(text_a, "a").select("a", "b", "text_a", "text_b")
     return written(rows.mapInArrow(_confirm_batches, "a long, b long"))[0]
 
 
@@ -139,27 +156,61 @@ def _near_sizes(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def _compare_blocks(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket's two blocks whose sketches allow a link and whose components differ."""
+def _partners(key, rows: pd.DataFrame):
+    """For each class of the first block: (its row, the rows of the second that differ in component and whose sizes and sketches allow a link)."""
     marks = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
     marks = np.concatenate([marks >> 4, marks & 15], axis=1)
     cls, root, n, block = (rows[c].to_numpy() for c in ("cls", "root", "n", "block"))
     left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-    out = []
     for i in left:
-        other = right[(root[right] != root[i]) & (n[right] * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n[right] * PERCENT) & ((cls[right] > cls[i]) | (block[right] != block[i]))]
+        other = right[(root[right] != root[i]) & ((cls[right] > cls[i]) | (block[right] != block[i]))]
+        other = other[(n[other] * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n[other] * PERCENT)]
         other = other[np.count_nonzero(marks[other] == marks[i], axis=1) >= LEAST_AGREEING]
-        out.append(np.stack([np.minimum(cls[i], cls[other]), np.maximum(cls[i], cls[other])], axis=1))
-    return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
-
-
-def _blocks(open_rows: DataFrame) -> DataFrame:
+        if len(other):
+            yield i, other
+
+
+def _with_partners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The classes of a bucket's two blocks that have a possible partner."""
+    found = np.zeros(len(rows), dtype=bool)
+    for i, other in _partners(key, rows):
+        found[i] = True
+        found[other] = True
+    return rows.loc[found, ["bucket", "cls", "root", "n"]]
+
+
+def _linked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The links between a bucket's two blocks, on full sets."""
+    sets, bounds = many_sets(list(rows["text"]))
+    sizes, cls = np.diff(bounds), rows["cls"].to_numpy()
+    names, place = np.unique(sets, return_inverse=True)
+    held, a, b = np.zeros(len(names), dtype=bool), [], []
+    for i, other in _partners(key, rows):
+        held[place[bounds[i] : bounds[i + 1]]] = True
+        common = np.array([np.count_nonzero(held[place[bounds[j] : bounds[j + 1]]]) for j in other])
+        held[:] = False
+        links = other[100 * common >= PERCENT * (sizes[other] + sizes[i] - common)]
+        a += [cls[i]] * len(links)
+        b += cls[links].tolist()
+    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
     """Each bucket's classes dealt to blocks, once for each pair of blocks; a group has two blocks at most."""
-    sizes = open_rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
-    dealt = open_rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cls", "bucket"), F.col("n_blocks")).cast("int"))
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    rows = rows.join(rows.groupBy("bucket").agg(count.cast("int").alias("n_blocks")), "bucket")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls", "bucket"), F.col("n_blocks")).cast("int"))
     ends = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = dealt.withColumn("ij", F.explode(ends)).select("bucket", "ij.i", "ij.j", "block", "cls", "root", "n", "sketch")
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks, "a long, b long").distinct()
+    return rows.withColumn("ij", F.explode(ends)).select("*", "ij.i", "ij.j").drop("ij", "n_blocks")
+
+
+def _open_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links between classes of open buckets (bucket, cls, root, n) that differ in component; written."""
+    sketched = _dealt(rows).join(texts.select("cls", "sketch"), "cls")
+    some = sketched.groupBy("bucket", "i", "j").applyInPandas(_with_partners, "bucket long, cls long, root long, n long").distinct()
+    some, _ = written(some)
+    whole = _dealt(some).join(texts.select("cls", "sketch", "text"), "cls")
+    return written(whole.groupBy("bucket", "i", "j").applyInPandas(_linked, "a long, b long").distinct())[0]
 
 
 def _with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -186,30 +237,16 @@ def groups(docs: DataFrame) -> DataFrame:
     classes, _ = written(signed.where("cls is not null").groupBy("cls").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")))
     wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "uid")
     wanted, _ = written(wanted)
-    texts, _ = written(signed.select("uid", "n", "sketch", "text").join(wanted, "uid").select("cls", "n", "sketch", "text"))
-    size = texts.select(F.col("cls").alias("pivot"), F.col("n").alias("pivot_n"))
+    # The wanted texts follow the data, so their list is never broadcast, however short it is.
+    texts, _ = written(signed.select("uid", "n", "sketch", "text").hint("merge").join(wanted, "uid").select("cls", "n", "sketch", "text"))
 
-    first = members.where("cls <> pivot").select("pivot", "cls", "n").distinct().join(size, "pivot").where(_near_sizes("n", "pivot_n"))
-    tested, _ = written(first.select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
+    first = members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
+    tested = plausible(first, texts)
     links = confirmed(tested, texts)
 
-    rest = _with_roots(members.where("cls <> pivot").select("bucket", "cls", "n"), links)
-    rest = _still_open(rest)
-    if rest is not None:
-        drawn = rest.groupBy("bucket").agg(F.min(F.xxhash64("bucket", "cls")).alias("draw"))
-        marked = rest.join(drawn, "bucket").withColumn("is_pivot", F.xxhash64("bucket", "cls") == F.col("draw"))
-        marked, _ = written(marked)
-        pivots = marked.where("is_pivot").select("bucket", F.col("cls").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"))
-        second = marked.where("not is_pivot").join(pivots, "bucket").where((F.col("root") != F.col("p_root")) & _near_sizes("n", "p_n"))
-        second = second.select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        second, _ = written(second)
-        links = links.unionByName(confirmed(second, texts))
-        rest = _still_open(_with_roots(marked.where("not is_pivot").select("bucket", "cls", "n"), links))
+    rest = _still_open(_with_roots(members.where("cls <> pivot").select("bucket", "cls", "n"), links))
     if rest is not None:
-        rest = rest.join(texts.select("cls", "sketch"), "cls")
-        third = _blocks(rest).join(tested.unionByName(second), ["a", "b"], "left_anti")
-        third, _ = written(third)
-        links = links.unionByName(confirmed(third, texts))
+        links = links.unionByName(_open_links(rest, texts))
 
     roots = _with_roots(classes.select("cls", "least"), links)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
