@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codecs, scalars
 from tidemark.functions.predicates import Custom, time_between, time_gt, time_lt, value_eq, value_gt, value_lt
-from tidemark.model import Category, Column, CorruptedError, DataType, Encoding, InvalidArgError, Measurement, NotFoundError, Record, TableSchema, Tablet, TypeMismatchError
+from tidemark.model import Category, Column, Compression, Config, CorruptedError, DataType, Encoding, InvalidArgError, Measurement, NotFoundError, Record, TableSchema, Tablet, TypeMismatchError
 from tidemark.operators import scan, stats
 from tidemark.plans.engine import TsEngine
 from tidemark.sources.store import Writer
@@ -149,6 +149,52 @@ def test_distributed_writes_and_append(spark, tmp_path):
     assert e.query(["root.d0", "root.d1"], ["b"]).select("device").distinct().count() == 2
 
 
+def test_flushes_and_codecs(spark, tmp_path):
+    for codec in Compression:
+        root = f"file://{tmp_path}/{codec.name}"
+        w = Writer(spark, root, Config(compression=codec, page_points=4))
+        w.register("root.d", Measurement("m", DataType.INT64))
+        w.register_aligned("root.a", [Measurement("x", DataType.INT32)])
+        for part in range(2):
+            for i in range(10):
+                w.write_record(Record("root.d", 10 * part + i).add("m", DataType.INT64, i))
+            w.write_aligned_record(Record("root.a", part).add("x", DataType.INT32, part))
+            w.flush()
+        w.close()
+        with pytest.raises(InvalidArgError):
+            w.write_record(Record("root.d", 0).add("m", DataType.INT64, 1))
+        e = TsEngine.open(spark, root)
+        assert [len(b) for b in e.blocks(e.query("root.d", ["m"]), 8)] == [8, 8, 4] and e.query("root.a", ["x"]).count() == 2
+        s = e.series_of("root.d").first()
+        assert (s["count"], s.start_time, s.end_time, s["first"], s["last"], s["sum"]) == (20, 0, 19, "0", "9", "90.0")
+        if codec is Compression.SNAPPY:
+            break
+
+
+def test_a_device_both_ways(spark, tmp_path):
+    root = f"file://{tmp_path}/both"
+    w = Writer(spark, root)
+    w.register("root.d", Measurement("m", DataType.INT64))
+    w.register_aligned("root.d", [Measurement("x", DataType.INT32)])
+    w.write_record(Record("root.d", 1).add("m", DataType.INT64, 1))
+    w.write_aligned_record(Record("root.d", 1).add("x", DataType.INT32, 1))
+    with pytest.raises(NotFoundError):
+        w.write_aligned_record(Record("root.d", 1).add("y", DataType.INT32, 1))
+    with pytest.raises(TypeMismatchError):
+        w.write_aligned_record(Record("root.d", 1).add("x", DataType.INT64, 1))
+    w.close()
+    with pytest.raises(InvalidArgError):
+        TsEngine.open(spark, root).query("root.d", ["x", "m"])
+
+
+@pytest.mark.parametrize("codec", list(Compression))
+def test_every_codec_is_written(spark, tmp_path, codec):
+    w = Writer(spark, f"file://{tmp_path}/c", Config(compression=codec))
+    w.write_series(spark.range(30).selectExpr("'d' device", "'m' measurement", "id time", "id seq", "id value"), DataType.INT64)
+    w.close()
+    assert TsEngine.open(spark, f"file://{tmp_path}/c").query("d", ["m"]).count() == 30
+
+
 def merge_by_hand(streams):
     heads, out = [0] * len(streams), []
     while any(h < len(s) for h, s in zip(heads, streams)):

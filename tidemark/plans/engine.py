@@ -88,11 +88,25 @@ class TsEngine:
     def _aligned(self, here, measurements: list[str], flt: Filter | None) -> DataFrame:
         found = [self.reader.aligned(n) for n in self.reader.meta["aligned"]]
         held = [w.where(here) for w in found if all(m in w.columns for m in measurements)]
+        if not held:
+            raise InvalidArgError("aligned and non-aligned measurements in one query")
         out = [scan.aligned(w, measurements, flt) for w in held]
         rows = out[0]
         for more in out[1:]:
             rows = rows.unionByName(more)
         return scan.in_order(rows)
 
+    @staticmethod
+    def blocks(result: DataFrame, rows: int = 1024):
+        """A result's rows in lists of bounded length, fetched a partition at a time; it may be left early."""
+        held = []
+        for row in result.toLocalIterator(prefetchPartitions=True):
+            held.append(row)
+            if len(held) == rows:
+                yield held
+                held = []
+        if held:
+            yield held
+
     def table(self, name: str) -> DataFrame:
         return self.reader.table(name)

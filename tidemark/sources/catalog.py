@@ -5,7 +5,7 @@ Statistics in the catalog answer counts, ranges and pruning without a scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import Filter
@@ -17,10 +17,17 @@ from tidemark.operators import stats
 FIELDS = ["count", "start_time", "end_time", "first", "last", "min", "max", "sum"]
 
 
-def chunk_index(legs: DataFrame, kind: DataType, points: int, per_chunk: int) -> DataFrame:
-    """device, measurement, chunk and its statistic, in the series' own type."""
-    pages = stats.page_stats(legs, kind, ["device", "measurement"], points, per_chunk)
-    return stats.merge_stats(pages, kind, ["device", "measurement", "chunk"], "page").withColumn("type", F.lit(kind.name))
+def chunk_index(stored: DataFrame, kind: DataType, points: int, per_chunk: int) -> DataFrame:
+    """device, measurement, chunk and its statistic, in the series' own type, for rows with a column ``part``.
+
+    Pages are numbered within a part (a file), so that no window holds more of a
+    series than one file does; only the far fewer chunks are numbered over all.
+    """
+    keys = ["device", "measurement", "part"]
+    pages = stats.page_stats(stored, kind, keys, points, per_chunk)
+    chunks = stats.merge_stats(pages, kind, [*keys, "chunk"], "page")
+    order = Window.partitionBy("device", "measurement").orderBy("start_time", "part", "chunk")
+    return chunks.withColumn("chunk", (F.row_number().over(order) - 1).cast("long")).drop("part").withColumn("type", F.lit(kind.name))
 
 
 def series_index(chunks: DataFrame, kind: DataType) -> DataFrame:

@@ -69,6 +69,8 @@ class Writer:
     # Rows
 
     def _next(self) -> int:
+        if self._closed:
+            raise InvalidArgError("the writer is closed")
         self._seq += 1
         return self._seq
 
@@ -147,10 +149,19 @@ class Writer:
         writer.parquet(path)
 
     def close(self) -> None:
-        """Write all that was collected, the catalog and the marker."""
+        """Commit what is left and end the writer."""
+        self.flush()
+        self._closed = True
+
+    def flush(self) -> None:
+        """Commit all that was collected, the catalog and the marker; later rows append to it."""
         if self._closed:
             raise InvalidArgError("the writer is closed")
-        self._closed = True
+        self._commit()
+        self._legs, self._aligned, self._frames, self._aligned_frames, self._table_frames = {}, {}, {}, {}, {}
+        self._mode = "append"
+
+    def _commit(self) -> None:
         kinds = {**self._legs, **self._frames}
         for kind in kinds:
             parts = [_segments(f) for f in self._frames.get(kind, [])]
@@ -162,11 +173,13 @@ class Writer:
             # Ranges keep a device's rows together and split one that is too large for a task.
             rows = rows.repartitionByRange("device", "measurement", "time", "seq").sortWithinPartitions("device", "measurement", "time", "seq")
             self._out(rows, f"{self.root}/series/type={kind.name}")
-            stored = self.spark.read.parquet(f"{self.root}/series/type={kind.name}")
+            stored = self.spark.read.parquet(f"{self.root}/series/type={kind.name}").withColumn("part", F.col("_metadata.file_name"))
             chunks = catalog.chunk_index(stored, kind, self.config.page_points, 8)
             chunks.drop("type").write.mode("overwrite").parquet(f"{self.root}/catalog/chunks/type={kind.name}")
         for device, known in self._aligned_schemas.items():
             rows = self._aligned.get(device, [])
+            if not rows and self._mode == "append":
+                continue
             columns = sorted(known)
             struct = "device array<string>, time long, seq long, " + ", ".join(f"`{c}` {known[c].type.spark.simpleString()}" for c in columns)
             data = [(parse_path(device), t, seq, *(values.get(c) for c in columns)) for t, seq, values in rows]
@@ -177,6 +190,8 @@ class Writer:
             self._out(rows.repartitionByRange("device", "time", "seq").sortWithinPartitions("device", "time", "seq"), f"{self.root}/aligned/{name}")
         for name, schema in self._tables.items():
             frames = self._table_frames.get(name, [])
+            if not frames and self._mode == "append" and self._has_table(name):
+                continue
             order = [c.name for c in schema.columns if c.category is Category.TAG] + ["time"]
             names = ["time", *(c.name for c in schema.columns)]
             empty = self.spark.createDataFrame([], schema.struct())
@@ -193,6 +208,13 @@ class Writer:
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/meta")
 
 
+    def _has_table(self, name: str) -> bool:
+        try:
+            return name in read_meta(self.spark, self.root)["tables"]
+        except (NotFoundError, CorruptedError):
+            return False
+
+
 def _segments(df: DataFrame) -> DataFrame:
     """The device as segments, if it is given as an unquoted path."""
     if df.schema["device"].dataType.typeName() != "array":
