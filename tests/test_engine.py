@@ -297,6 +297,16 @@ def test_pushdown_reaches_the_scan(stored, spark):
     assert "GreaterThan(value,5)" in plan
 
 
+def test_bounds_reach_stored_times(spark):
+    from tidemark.plans import slate
+
+    explain = lambda df: spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    for name in ("time_between_incl", "filter_and", "merge_time_filter", "aligned_filter", "filter_not_time"):
+        plan = explain(slate.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert any("(ts," in line for line in plan.split("\n") if line.startswith("PushedFilters")), name
+    assert "GreaterThan(value,50.0)" in explain(slate.queries()["value_gt"](spark, "/root/testdata/sf0.001"))
+
+
 @pytest.mark.parametrize("values", [[I64, -I64 - 1, I64, 0], [5], [3, 3, 3], list(range(40))])
 def test_delta_round_trip(spark, values):
     df = legs(spark, [(i, i, v) for i, v in enumerate(values)])

@@ -21,14 +21,22 @@ from pyspark.sql import functions as F
 from tidemark.model import DataType, InvalidArgError, TypeMismatchError
 
 
+def _long(micros: int) -> Column:
+    return F.lit(micros).cast("long")
+
+
 class Filter:
     """A predicate over (time, value). Subclasses may override any of the conditions."""
 
     def row(self, time: Column, value: Column, kind: DataType | None) -> Column:
         raise NotImplementedError
 
-    def time_only(self, time: Column) -> Column | None:
-        """A condition on the time that every passing row meets, or None."""
+    def time_only(self, time: Column, literal=_long) -> Column | None:
+        """A condition on the time that every passing row meets, or None.
+
+        ``literal`` makes a bound comparable with ``time``, for times that are
+        stored as something other than whole numbers.
+        """
         return None
 
     def statistic(self, kind: DataType | None, names: dict[str, str] | None = None) -> Column:
@@ -66,11 +74,11 @@ class Time(Filter):
     bound: int
 
     def row(self, time, value=None, kind=None):
-        b = F.lit(self.bound).cast("long")
-        return {">": time > b, ">=": time >= b, "<": time < b, "<=": time <= b, "=": time == b}[self.op]
+        return self.time_only(time)
 
-    def time_only(self, time):
-        return self.row(time)
+    def time_only(self, time, literal=_long):
+        b = literal(self.bound)
+        return {">": time > b, ">=": time >= b, "<": time < b, "<=": time <= b, "=": time == b}[self.op]
 
     def statistic(self, kind=None, names=None):
         start, end, b = _stat(names, "start"), _stat(names, "end"), F.lit(self.bound).cast("long")
@@ -85,11 +93,11 @@ class TimeBetween(Filter):
     inclusive: bool = True
 
     def row(self, time, value=None, kind=None):
-        low, high = F.lit(self.low).cast("long"), F.lit(self.high).cast("long")
-        return (time >= low) & (time <= high) if self.inclusive else (time > low) & (time < high)
+        return self.time_only(time)
 
-    def time_only(self, time):
-        return self.row(time)
+    def time_only(self, time, literal=_long):
+        low, high = literal(self.low), literal(self.high)
+        return (time >= low) & (time <= high) if self.inclusive else (time > low) & (time < high)
 
     def statistic(self, kind=None, names=None):
         start, end = _stat(names, "start"), _stat(names, "end")
@@ -155,8 +163,8 @@ class And(Filter):
     def row(self, time, value, kind):
         return self.left.row(time, value, kind) & self.right.row(time, value, kind)
 
-    def time_only(self, time):
-        sides = [c for c in (self.left.time_only(time), self.right.time_only(time)) if c is not None]
+    def time_only(self, time, literal=_long):
+        sides = [c for c in (self.left.time_only(time, literal), self.right.time_only(time, literal)) if c is not None]
         return sides[0] & sides[1] if len(sides) == 2 else sides[0] if sides else None
 
     def statistic(self, kind=None, names=None):
@@ -174,8 +182,8 @@ class Or(Filter):
     def row(self, time, value, kind):
         return self.left.row(time, value, kind) | self.right.row(time, value, kind)
 
-    def time_only(self, time):
-        left, right = self.left.time_only(time), self.right.time_only(time)
+    def time_only(self, time, literal=_long):
+        left, right = self.left.time_only(time, literal), self.right.time_only(time, literal)
         return None if left is None or right is None else left | right
 
     def statistic(self, kind=None, names=None):
@@ -192,8 +200,9 @@ class Not(Filter):
     def row(self, time, value, kind):
         return ~self.inner.total(time, value, kind)
 
-    def time_only(self, time):
-        return None if self.inner.needs_value() else ~self.inner.row(time, None, None)
+    def time_only(self, time, literal=_long):
+        """Only a filter of times alone can be turned round: what it leaves out is then what passes."""
+        return None if self.inner.needs_value() else ~self.inner.time_only(time, literal)
 
 
 @dataclass(frozen=True)

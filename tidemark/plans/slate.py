@@ -8,6 +8,7 @@ aligned rows by o_custkey. Times are microseconds since 1970.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,18 +49,29 @@ def _micros(c: str):
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c})")
 
 
-def events(spark, sf_dir) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
+def _stamp(micros: int):
+    """A bound as the tables store times, so that it reaches the scan."""
+    return F.expr(f"timestamp_ntz'{datetime(1970, 1, 1) + timedelta(microseconds=micros)}'")
+
+
+def _pruned(df: DataFrame, stored: str, flt: Filter | None) -> DataFrame:
+    """The rows whose stored time can pass the filter."""
+    below = flt.time_only(F.col(stored), _stamp) if flt is not None else None
+    return df if below is None else df.where(below)
+
+
+def events(spark, sf_dir, flt: Filter | None = None) -> DataFrame:
+    e = _pruned(_read(spark, sf_dir, "events"), "ts", flt)
     return e.select(F.col("user_id").alias("device"), F.col("event_type").alias("measurement"), _micros("ts").alias("time"), F.col("event_id").alias("seq"), "value")
 
 
-def events_aligned(spark, sf_dir) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
+def events_aligned(spark, sf_dir, flt: Filter | None = None) -> DataFrame:
+    e = _pruned(_read(spark, sf_dir, "events"), "ts", flt)
     return e.select(F.col("user_id").alias("device"), _micros("ts").alias("time"), F.col("event_id").alias("seq"), "value", "event_type", "props")
 
 
-def _leg(spark, sf_dir, kind: str) -> DataFrame:
-    return events(spark, sf_dir).where(F.col("measurement") == kind).drop("measurement")
+def _leg(spark, sf_dir, kind: str, flt: Filter | None = None) -> DataFrame:
+    return events(spark, sf_dir, flt).where(F.col("measurement") == kind).drop("measurement")
 
 
 def orders_aligned(spark, sf_dir) -> DataFrame:
@@ -86,7 +98,7 @@ def series_scan(spark, sf_dir):
 
 def _filtered(name: str, flt: Filter, condition: str, kind: str = "click") -> None:
     def run(spark, sf_dir):
-        return scan.series(_leg(spark, sf_dir, kind), kind, flt)
+        return scan.series(_leg(spark, sf_dir, kind, flt), kind, flt)
 
     QUERIES[name] = run
     ORACLES[name] = f"SELECT device, time, seq, value AS {kind} FROM {_EV} WHERE measurement = '{kind}' AND ({condition})"
@@ -166,7 +178,7 @@ def _merge_sql(source: str, legs: list[str], names: list[str], where: str = "")
 
 
 def _merged(spark, sf_dir, kinds, flt=None):
-    return scan.merge([_leg(spark, sf_dir, k) for k in kinds], kinds, flt)
+    return scan.merge([_leg(spark, sf_dir, k, flt) for k in kinds], kinds, flt)
 
 
 @_query(_merge_sql(_EV, ["click", "view"], ["click", "view"]))
@@ -231,7 +243,8 @@ def aligned_nulls(spark, sf_dir):
 
 @_query(f"SELECT device, time, seq, value, props FROM (SELECT user_id AS device, epoch_us(ts) AS time, event_id AS seq, value, props FROM events) WHERE time BETWEEN {LOW} AND {HIGH} AND value > 25 AND NOT isnan(value)")
 def aligned_filter(spark, sf_dir):
-    return scan.aligned(events_aligned(spark, sf_dir), ["value", "props"], time_between(LOW, HIGH) & value_gt(25.0))
+    flt = time_between(LOW, HIGH) & value_gt(25.0)
+    return scan.aligned(events_aligned(spark, sf_dir, flt), ["value", "props"], flt)
 
 
 @_query(f"SELECT device, time, seq, o_totalprice, o_totalprice AS o_totalprice_2 FROM {_ORD} WHERE device = 7")
