@@ -144,6 +144,9 @@ def revealing_terms(docs: DataFrame, least_joint: int = LEAST_JOINT, generalise:
     found, _ = written(based.select("doc_id", "mark", "base", near.alias("near")))
     pairs = found.where(F.size("near") > 0).select("doc_id", "mark", F.explode("near").alias("e")).select("doc_id", "mark", "e.entity", F.explode("e.terms").alias("term"))
     joint = pairs.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= least_joint)
+    # The documents that hold a term near any entity are among all that hold it: terms near too many others are out before the corpus is read.
+    around = pairs.select("term", "doc_id", "mark").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    joint = joint.join(around, "term").where(F.col("joint") >= F.col("n_near") * LEAST_GIVEN_TERM).drop("n_near")
     joint, _ = written(joint)
     base_only = found.select("doc_id", "mark", "base")
     if joint.isEmpty():
