@@ -10,30 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, near_dedup, packing, pii, quality_rules
 from tidemark.llm.common import table, written
+from tidemark.shipping import ship
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass policy v1."""
+    ship(spark)
     return quality_rules.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate group."""
+    ship(spark)
     return near_dedup.keep(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    ship(spark)
     return decontamination.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and the terms that reveal it replaced."""
+    ship(spark)
     return pii.sanitise(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of 4096 tokens."""
+    ship(spark)
     return packing.pack(packing.pieces(docs))
 
 
