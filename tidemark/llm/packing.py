@@ -358,6 +358,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         histogram[r["length"]] = r["n"]
     runs = found.sparkSession.sparkContext.broadcast(slots(plan_of(histogram, capacity), capacity))
     names = [c for c in found.columns if c not in ("part", "k")]
-    ranked = found.join(counts.select("length", "part", "before"), ["length", "part"]).select(*names, F.col("length").alias("_length"), (F.col("before") + F.col("k")).alias("_rank"))
+    # The counts follow the number of input partitions, so they are never broadcast; a key's pieces are one partition's at most.
+    ranked = found.join(counts.select("length", "part", "before").hint("merge"), ["length", "part"]).select(*names, F.col("length").alias("_length"), (F.col("before") + F.col("k")).alias("_rank"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name in names)
     return ranked.mapInArrow(_placer(runs), kinds + ", sequence_id long, offset long")
