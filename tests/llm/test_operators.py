@@ -243,6 +243,15 @@ def test_revealing_terms(spark):
     assert "zorblat" not in clean[0] and "<EMAIL>" in clean[0] and clean[66] == texts[66] and clean[30] == texts[30]
 
 
+def test_a_term_far_from_its_entity_is_hidden(spark):
+    rng = random.Random(3)
+    texts = [f"Write to the zorblat at zed@example.com about {' '.join(babble(rng, 8))} soon" for _ in range(6)]
+    texts += [f"Zorblat again {' '.join(babble(rng, 60))} at zed@example.com"] + [f"Write to them about {' '.join(babble(rng, 9))} soon" for _ in range(60)]
+    rows = {r.doc_id: r for r in pii.find(write_docs(spark, texts)).collect()}
+    assert "Zorblat" in [s.hit for s in rows[6].spans if pii.KINDS[s.kind] == "term"]
+    assert "orblat" not in next(r.text for r in pii.sanitise(write_docs(spark, texts)).collect() if r.doc_id == 6)
+
+
 # Chat
 
 def test_typed_parts(spark):

@@ -161,7 +161,9 @@ def revealing_terms(docs: DataFrame, least_joint: int = LEAST_JOINT, generalise:
     share = F.when(information > 0, (F.log2(given) + information) / information).otherwise(0.0)
     flagged = joint.join(counts, "term").join(entities, "entity").where((share >= generalise) & (given >= LEAST_GIVEN_TERM))
     flagged, _ = written(flagged.select("entity", "term", (share >= REMOVE).alias("removed")))
-    hidden = pairs.join(flagged, ["entity", "term"]).groupBy("doc_id", "mark", "term").agg(F.max("removed").alias("removed"))
+    # Every document of the entity, wherever the term stands in it.
+    holders = found.where(F.size("near") > 0).select("doc_id", "mark", F.explode("near.entity").alias("entity")).distinct()
+    hidden = holders.join(flagged, "entity").groupBy("doc_id", "mark", "term").agg(F.max("removed").alias("removed"))
     hidden = hidden.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("term", "removed"))).alias("terms"))
     return base_only, written(hidden)[0]
 
