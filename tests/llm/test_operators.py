@@ -252,6 +252,14 @@ def test_a_term_far_from_its_entity_is_hidden(spark):
     assert "orblat" not in next(r.text for r in pii.sanitise(write_docs(spark, texts)).collect() if r.doc_id == 6)
 
 
+def test_copies_do_not_hide_a_link(spark):
+    rng = random.Random(4)
+    texts = [f"Write to the zorblat at zed@example.com about {' '.join(babble(rng, 8))} soon" for _ in range(3)]
+    texts += [f"Write to them about {' '.join(babble(rng, 9))} soon" for _ in range(60)] + texts[:1] * 100
+    rows = pii.find(write_docs(spark, texts)).collect()
+    assert {r.doc_id for r in rows if any(s.hit == "zorblat" for s in r.spans)} == {0, 1, 2, *range(63, 163)}
+
+
 # Chat
 
 def test_typed_parts(spark):

@@ -134,9 +134,8 @@ def revealing_terms(docs: DataFrame, least_joint: int = LEAST_JOINT, generalise:
 
     The first table has doc_id, mark (a hash of the text) and base, a row for
     each row of ``docs``; the second doc_id, mark and terms, an array of
-    (term, removed). Copies of a text count once as evidence for a link between
-    term and entity, and each time in the term's own frequency, so that copying
-    never makes a term look more revealing.
+    (term, removed). All counts are of distinct texts, so that copying changes
+    no term's score.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     based = with_base_spans(rows.withColumn("mark", F.xxhash64("text")))
@@ -144,8 +143,8 @@ def revealing_terms(docs: DataFrame, least_joint: int = LEAST_JOINT, generalise:
     found, _ = written(based.select("doc_id", "mark", "base", near.alias("near")))
     pairs = found.where(F.size("near") > 0).select("doc_id", "mark", F.explode("near").alias("e")).select("doc_id", "mark", "e.entity", F.explode("e.terms").alias("term"))
     joint = pairs.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= least_joint)
-    # The documents that hold a term near any entity are among all that hold it: terms near too many others are out before the corpus is read.
-    around = pairs.select("term", "doc_id", "mark").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    # The texts that hold a term near any entity are among all that hold it: terms near too many others are out before the corpus is read.
+    around = pairs.select("term", "mark").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     joint = joint.join(around, "term").where(F.col("joint") >= F.col("n_near") * LEAST_GIVEN_TERM).drop("n_near")
     joint, _ = written(joint)
     base_only = found.select("doc_id", "mark", "base")
@@ -153,9 +152,10 @@ def revealing_terms(docs: DataFrame, least_joint: int = LEAST_JOINT, generalise:
         return base_only, pairs.limit(0).select("doc_id", "mark", F.array(F.struct("term", F.lit(True).alias("removed"))).alias("terms"))
     candidates, _ = written(joint.select("term").distinct())
     # The candidates are a written table: Spark broadcasts it only where its size allows.
-    counts = rows.select(F.explode(_terms(F.col("text"))).alias("term")).join(candidates, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    texts = rows.groupBy(F.xxhash64("text").alias("mark")).agg(F.any_value("text").alias("text"))
+    counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(candidates, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     entities = pairs.select("entity", "mark").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n_docs = max(found.count(), 1)
+    n_docs = max(found.agg(F.count_distinct("mark")).first()[0], 1)
     given = F.least(F.col("joint") / F.col("n_term"), F.lit(1.0))
     information = -F.log2(F.least(F.col("n_entity") / F.lit(n_docs), F.lit(1.0)))
     share = F.when(information > 0, (F.log2(given) + information) / information).otherwise(0.0)
