@@ -260,6 +260,16 @@ def test_copies_do_not_hide_a_link(spark):
     assert {r.doc_id for r in rows if any(s.hit == "zorblat" for s in r.spans)} == {0, 1, 2, *range(63, 163)}
 
 
+def test_rare_entities_and_short_names(spark):
+    """One text is enough for an entity and its term, wherever the term stands; short names count, short words don't."""
+    rng = random.Random(8)
+    texts = [f"Write to Kim Lee about {' '.join(babble(rng, 60))} or the zorblat at zed@example.com soon", "Write to 漢字 at +12345678901 soon", "Write to them soon"]
+    texts += [f"Write to them about {' '.join(babble(rng, 9))} soon" for _ in range(200)]
+    rows = {r.doc_id: r for r in pii.find(write_docs(spark, texts)).collect()}
+    hidden = {(i, s.hit) for i, r in rows.items() for s in r.spans if pii.KINDS[s.kind] == "term"}
+    assert hidden == {(0, "Kim"), (0, "Lee"), (0, "zorblat"), (1, "漢字")}
+
+
 # Chat
 
 def test_typed_parts(spark):

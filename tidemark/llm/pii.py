@@ -1,8 +1,8 @@
 """Personal data: exact patterns, and terms that reveal what the patterns protect.
 
 Emails, IP addresses, card and phone numbers are found by fixed patterns. Each
-distinct value is a protected entity. Words near an entity are its candidate
-terms; corpus counts then say how strongly a term reveals the entity: the
+distinct value is a protected entity. All words of a text that holds an entity
+are its candidate terms; smoothed corpus counts then say how strongly a term reveals the entity: the
 pointwise mutual information of term and entity as a share of the entity's own
 information content, which is 1 where the term occurs with nothing else.
 Terms over a disclosure threshold are generalised, and over a higher one
@@ -31,11 +31,10 @@ PATTERNS = {
 _HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 
-#: Code points of context on each side of an entity, and the least letters of a term.
-CONTEXT = 64
+#: Terms with fewer letters count only where they are written like names.
 TERM_LETTERS = 4
-#: Distinct texts that must hold term and entity together before the counts mean anything.
-LEAST_JOINT = 3
+#: Texts that the estimate of a link adds to those counted; half a text lets a single meeting count, and the more the rarer the entity is.
+PSEUDO = 0.5
 #: A term is generalised from this share of the entity's information on, if the entity is as likely as this given the term; removed from the higher share on.
 GENERALISE = 0.9
 LEAST_GIVEN_TERM = 0.5
@@ -116,55 +115,60 @@ def _entity(span: Column) -> Column:
 
 def _terms(text: Column) -> Column:
     """The distinct terms of a text: runs of letters, in lower case."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= TERM_LETTERS))
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """The text around a span, without the words that the context's edges cut."""
-    low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, low + 1, span["start"] - low)
-    left = F.when(low > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return F.concat(left, F.lit(" "), right)
+def _names(text: Column) -> Column:
+    """The short terms of a text that are written like names: with a capital, or in letters without case."""
+    words = F.filter(F.split(text, r"[^\p{L}]+"), lambda w: (F.length(w) < TERM_LETTERS) & w.rlike(r"^[\p{Lu}\p{Lt}\p{Lo}]"))
+    return F.array_distinct(F.transform(words, F.lower))
 
 
-def revealing_terms(docs: DataFrame, least_joint: int = LEAST_JOINT, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+def _smoothed(joint: Column, n_term: Column, prior) -> Column:
+    """The probability of an entity given a term, with PSEUDO texts that hold the entity as often as any text does."""
+    return (joint + prior * PSEUDO) / (n_term + PSEUDO)
+
+
+def revealing_terms(docs: DataFrame, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """Base spans of every document, and the terms to hide by document.
 
     The first table has doc_id, mark (a hash of the text) and base, a row for
     each row of ``docs``; the second doc_id, mark and terms, an array of
-    (term, removed). All counts are of distinct texts, so that copying changes
-    no term's score.
+    (term, removed). Term and entity meet anywhere in a text. All counts are of
+    distinct texts, so that copying changes no term's score.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     based = with_base_spans(rows.withColumn("mark", F.xxhash64("text")))
-    near = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _terms(_context(F.col("text"), s)).alias("terms")))
-    found, _ = written(based.select("doc_id", "mark", "base", near.alias("near")))
-    pairs = found.where(F.size("near") > 0).select("doc_id", "mark", F.explode("near").alias("e")).select("doc_id", "mark", "e.entity", F.explode("e.terms").alias("term"))
-    joint = pairs.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= least_joint)
-    # The texts that hold a term near any entity are among all that hold it: terms near too many others are out before the corpus is read.
-    around = pairs.select("term", "mark").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    joint = joint.join(around, "term").where(F.col("joint") >= F.col("n_near") * LEAST_GIVEN_TERM).drop("n_near")
-    joint, _ = written(joint)
+    held = F.size("base") > 0
+    entities = F.array_distinct(F.transform("base", _entity))
+    found, _ = written(based.select("doc_id", "mark", "base", F.when(held, entities).alias("entities"), F.when(held, _terms(F.col("text"))).alias("terms"), F.when(held, _names(F.col("text"))).alias("names")))
     base_only = found.select("doc_id", "mark", "base")
-    if joint.isEmpty():
-        return base_only, pairs.limit(0).select("doc_id", "mark", F.array(F.struct("term", F.lit(True).alias("removed"))).alias("terms"))
-    candidates, _ = written(joint.select("term").distinct())
-    # The candidates are a written table: Spark broadcasts it only where its size allows.
-    texts = rows.groupBy(F.xxhash64("text").alias("mark")).agg(F.any_value("text").alias("text"))
-    counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(candidates, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    entities = pairs.select("entity", "mark").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    holders = found.where(held)
+    texts, _ = written(holders.groupBy("mark").agg(*(F.any_value(c).alias(c) for c in ("entities", "terms", "names"))))
+    # The texts of any entity that hold a term are among all that hold it: terms in too many others are out before they meet the entities.
+    around = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    names = texts.select(F.explode("names").alias("term")).distinct().withColumn("name", F.lit(True))
+    around = around.join(names, "term", "left").where((F.length("term") >= TERM_LETTERS) | F.col("name")).drop("name")
+    distinct = rows.groupBy(F.xxhash64("text").alias("mark")).agg(F.any_value("text").alias("text"))
+    counts = distinct.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    candidates = around.join(counts, "term").where(_smoothed(F.col("n_near"), F.col("n_term"), 1.0) >= LEAST_GIVEN_TERM)
+    candidates, _ = written(candidates.select("term", "n_term"))
+    # Entities of the same texts have the same counts, so they meet the terms as one group.
+    of = texts.select("mark", F.explode("entities").alias("entity"))
+    same = of.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("mark")).alias("a"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("b"))
+    same = same.select("entity", "n_entity", F.xxhash64("n_entity", "a", "b").alias("group"))
+    groups = of.join(same, "entity").select("mark", "group", "n_entity").distinct()
+    pairs, _ = written(texts.select("mark", F.explode("terms").alias("term")).join(candidates, "term").join(groups, "mark"))
+    joint = pairs.groupBy("group", "term").agg(F.count(F.lit(1)).alias("joint"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
     n_docs = max(found.agg(F.count_distinct("mark")).first()[0], 1)
-    given = F.least(F.col("joint") / F.col("n_term"), F.lit(1.0))
-    information = -F.log2(F.least(F.col("n_entity") / F.lit(n_docs), F.lit(1.0)))
+    prior = F.col("n_entity") / F.lit(n_docs)
+    given = _smoothed(F.col("joint"), F.col("n_term"), prior)
+    information = -F.log2(prior)
     share = F.when(information > 0, (F.log2(given) + information) / information).otherwise(0.0)
-    flagged = joint.join(counts, "term").join(entities, "entity").where((share >= generalise) & (given >= LEAST_GIVEN_TERM))
-    flagged, _ = written(flagged.select("entity", "term", (share >= REMOVE).alias("removed")))
-    # Every document of the entity, wherever the term stands in it.
-    holders = found.where(F.size("near") > 0).select("doc_id", "mark", F.explode("near.entity").alias("entity")).distinct()
-    hidden = holders.join(flagged, "entity").groupBy("doc_id", "mark", "term").agg(F.max("removed").alias("removed"))
-    hidden = hidden.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("term", "removed"))).alias("terms"))
+    flagged = joint.where((share >= generalise) & (given >= LEAST_GIVEN_TERM)).select("group", "term", (share >= REMOVE).alias("removed"))
+    hidden = pairs.join(flagged, ["group", "term"]).groupBy("mark", "term").agg(F.max("removed").alias("removed"))
+    hidden, _ = written(hidden.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("term", "removed"))).alias("terms")))
+    hidden = holders.select("doc_id", "mark").distinct().join(hidden, "mark").select("doc_id", "mark", "terms")
     return base_only, written(hidden)[0]
 
 
