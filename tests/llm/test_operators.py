@@ -437,6 +437,54 @@ def test_licences():
     assert found(far) == []
 
 
+def test_wrapped_licences():
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0."""
+    cc = """This work is licensed under a Creative Commons
+Attribution-ShareAlike 4.0 International License."""
+    whole = {"Apache-2.0": apache, "MIT": mit, "GPL-3.0-or-later": gpl, "GPL-2.0-or-later": gpl.replace("version 3", "version 2"), "BSD": bsd, "MPL-2.0": mpl, "CC-BY-SA-4.0": cc, "CC-BY-4.0": "Creative Commons Attribution 4.0"}
+    for name, text in whole.items():
+        for mark in ("", " * ", "// ", "# ", "REM "):
+            marked = "\n".join(mark + line for line in ["Some words first", "", *text.split("\n"), "", "Words after"])
+            found = license_scan.scan_text(marked)
+            assert [n for n, _, _ in found] == [name], (name, mark)
+            assert marked[found[0][1] : found[0][2]] == ("\n" + mark).join(text.split("\n")), (name, mark)
+
+
 def test_licences_of_documents(spark):
     """Every planted line is found, and nothing else."""
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "all-rights-reserved"}

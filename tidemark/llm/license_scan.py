@@ -1,6 +1,9 @@
 """Licence scans by sentence rules.
 
 A text's sentences are normalised and looked up among known licence sentences.
+Texts are cut at stops, semicolons and line ends; a sentence is then as many
+neighbouring pieces as make a known one, so that wrapped lines, comment markers
+and blank lines inside it don't matter.
 Runs of identifiers are then matched against ordered rules: a rule is a
 sequence of identifiers that must come in its order, with at most a few other
 sentences between neighbours; the first rule that matches at a place wins, and
@@ -40,9 +43,19 @@ SENTENCES = {
     "reserved": "all rights reserved",
     "public-domain": "this work is in the public domain",
 }
+#: Other wordings of the same sentences.
+VARIANTS = {
+    "licensed under the apache license version 2 0 the license": "apache-2.0-defined",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "apache-2.0-defined",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-2.0-obtain",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement": "mit-as-is",
+}
 #: Sentences with a changing part, on the normalised form.
 PATTERNS = {
     "cc": r"(?:this (?:work|page|article) is )?licensed under (?:a )?(?:cc|creative commons) (?P<kind>by(?: (?:nc|nd|sa))*|0) (?P<version>[0-9] [0-9])(?: international| unported)?(?: license)?",
+    "cc-long": r"(?:this (?:work|page|article) is )?(?:licensed under (?:a |the )?)?creative commons (?P<kind>attribution(?: (?:noncommercial|non commercial|noderivatives|noderivs|no derivatives|sharealike|share alike))*|zero|cc0) (?P<version>[0-9] [0-9])(?: international| unported| universal| generic)?(?: public)?(?: licen[sc]e)?",
+    "gpl-later": r"(?:this \w+|\w+) is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>lesser |library |affero )?general public license as published by the free software foundation either version (?P<version>[0-9](?: [0-9])?) of the license or at your option any later version",
     "gpl": r"(?:this (?:work|file|program) is )?licensed under the gnu (?P<kind>lesser |affero )?general public license version (?P<version>[0-9](?: [0-9])?)",
     "spdx": r"spdx license identifier (?P<kind>[a-z0-9 ]+)",
     "copyright": r"copyright (?:c )?(?P<version>[0-9]{4})(?: [0-9]{4})? [\w ]+",
@@ -58,6 +71,8 @@ class Rule:
 #: Ordered: longer texts before their own short forms.
 RULES = (
     Rule("Apache-2.0", ("apache-2.0-short", "apache-2.0-may-not-use", "apache-2.0-obtain", "apache-2.0-as-is", "apache-2.0-see")),
+    Rule("Apache-2.0", ("apache-2.0-defined", "apache-2.0-may-not-use", "apache-2.0-obtain", "apache-2.0-as-is", "apache-2.0-see")),
+    Rule("Apache-2.0", ("apache-2.0-defined", "apache-2.0-may-not-use")),
     Rule("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     Rule("BSD", ("bsd-redistribution",)),
     Rule("GPL-3.0-or-later", ("gpl-free", "gpl-no-warranty")),
@@ -68,54 +83,110 @@ RULES = (
     Rule("GPL-3.0", ("gpl-short",)),
     Rule("MPL-2.0", ("mpl-2.0",)),
     Rule("public-domain", ("public-domain",)),
+    Rule("{gpl-later}", ("gpl-later", "gpl-no-warranty")),
+    Rule("{gpl-later}", ("gpl-later",)),
     Rule("{gpl}", ("gpl",)),
     Rule("{cc}", ("cc",)),
+    Rule("{cc-long}", ("cc-long",)),
     Rule("{spdx}", ("spdx",)),
     Rule("all-rights-reserved", ("copyright", "reserved")),
     Rule("all-rights-reserved", ("reserved",)),
 )
 
-_BY_TEXT = {text: name for name, text in SENTENCES.items()}
+_BY_TEXT = {text: name for name, text in SENTENCES.items()} | VARIANTS
 _PATTERNS = {name: re.compile(p) for name, p in PATTERNS.items()}
-#: A sentence ends at a line's end, or at a stop before white space; a stop inside a number ends none.
-_SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?](?!\s|\Z)[^\n.!?]*)*[.!?]*")
+#: Beginnings of known sentences, word by word.
+_BEGINNINGS = {" ".join(w[:k]) for w in (t.split() for t in _BY_TEXT) for k in range(1, len(w) + 1)}
+#: Pieces that a sentence with a changing part may have; those of one line have one.
+_PIECES = {"cc": 4, "cc-long": 4, "gpl-later": 8, "gpl": 4, "spdx": 1, "copyright": 1}
+#: A piece ends at a line's end, a semicolon, or at a stop before white space; a stop inside a number ends none.
+_PIECE = re.compile(r"[^\n.!?;]*(?:[.!?](?!\s|\Z)[^\n.!?;]*)*[.!?;]*")
+#: What may stand before a comment's words on each line, besides signs.
+_MARKER = re.compile(r"\s*(?:rem|dnl)\s", re.IGNORECASE)
 _NOT_WORD = re.compile(r"[^\w]+|_+")
 #: What any known sentence holds; other texts are not split.
-_WORTH = re.compile(r"licen[sc]|copyright|rights reserved|permission is hereby|public domain|redistribut|warrant|spdx|copyright notice|free software|mozilla public", re.IGNORECASE)
+_WORTH = re.compile(r"licen[sc]|copyright|rights reserved|permission is hereby|public domain|redistribut|warrant|spdx|copyright notice|free software|mozilla public|creative commons", re.IGNORECASE)
 
 
 def normalised(sentence: str) -> str:
     return _NOT_WORD.sub(" ", sentence.lower()).strip()
 
 
-def identify(sentence: str) -> tuple[str, str] | None:
+def _named(name: str, m: re.Match) -> str:
+    """The licence that a sentence's changing part names."""
+    part = m.groupdict()
+    kind, version = (part.get("kind") or "").strip(), (part.get("version") or "").replace(" ", ".")
+    if name == "cc":
+        return f"CC{kind.replace(' ', '-').upper() if kind == '0' else '-' + kind.replace(' ', '-').upper()}-{version}"
+    if name == "cc-long":
+        if kind in ("zero", "cc0"):
+            return f"CC0-{version}"
+        parts = ["BY", *(k for k, words in (("NC", ("noncommercial", "non commercial")), ("ND", ("noderiv", "no deriv")), ("SA", ("sharealike", "share alike"))) if any(w in kind for w in words))]
+        return f"CC-{'-'.join(parts)}-{version}"
+    if name in ("gpl", "gpl-later"):
+        full = {"": "GPL", "lesser": "LGPL", "library": "LGPL", "affero": "AGPL"}[kind] + "-" + (version if "." in version else version + ".0")
+        return full + ("-or-later" if name == "gpl-later" else "")
+    return kind.replace(" ", "-").upper()
+
+
+def identify(sentence: str, pieces: int = 1) -> tuple[str, str] | None:
     """The identifier of a sentence, and the licence its changing part names, or None."""
     text = normalised(sentence)
     if text in _BY_TEXT:
         return _BY_TEXT[text], ""
     for name, pattern in _PATTERNS.items():
-        m = pattern.fullmatch(text)
+        m = pattern.fullmatch(text) if pieces <= _PIECES[name] else None
         if m:
-            part = m.groupdict()
-            kind, version = (part.get("kind") or "").strip(), (part.get("version") or "").replace(" ", ".")
-            if name == "cc":
-                return name, f"CC{kind.replace(' ', '-').upper() if kind == '0' else '-' + kind.replace(' ', '-').upper()}-{version}"
-            if name == "gpl":
-                return name, {"": "GPL", "lesser": "LGPL", "affero": "AGPL"}[kind] + "-" + (version if "." in version else version + ".0")
-            return name, kind.replace(" ", "-").upper()
+            return name, _named(name, m)
     return None
 
 
+def _sentence_at(pieces: list[tuple[str, int, int, bool]], at: int) -> tuple[tuple[str, str], int] | None:
+    """The longest known sentence of pieces from a place on, and the place after it."""
+    best, text, most = None, "", max(_PIECES.values())
+    for k in range(at, len(pieces)):
+        text = f"{text} {pieces[k][0]}" if text else pieces[k][0]
+        beginning = text in _BEGINNINGS
+        if not beginning and k - at >= most:
+            break
+        found = identify(text, k - at + 1)
+        if found:
+            best = found, k + 1
+    return best
+
+
 def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     """(licence, start, end) of the matches in a text, by start; code points, end exclusive."""
     if not text or not _WORTH.search(text):
         return []
+    pieces = []  # (normalised, start, end, whether a sentence ends here)
+    for m in _PIECE.finditer(text):
+        raw, start = m[0], m.start()
+        marker = _MARKER.match(raw) if start == 0 or text[start - 1] == "\n" else None
+        if marker:
+            raw, start = raw[marker.end() :], start + marker.end()
+        words = normalised(raw)
+        if words:
+            body = raw.lstrip()
+            lead = len(raw) - len(body)
+            if start == 0 or text[start - 1] == "\n" or marker:
+                signs = re.match(r"(?:[/*#;%!|>-]|<!--)+\s+", body)  # a comment's
+                lead += signs.end() if signs else 0
+            pieces.append((words, start + lead, start + len(raw.rstrip()), raw.rstrip()[-1] in ".!?"))
+        elif pieces and text[m.start() - 1 : m.start()] == "\n":
+            pieces[-1] = (*pieces[-1][:3], True)  # a blank line
     known = []  # (number of the sentence, identifier, named licence, start, end)
-    for number, m in enumerate(x for x in _SENTENCE.finditer(text) if x[0].strip()):
-        found = identify(m[0])
+    at = number = 0
+    while at < len(pieces):
+        found = _sentence_at(pieces, at)
         if found:
-            lead = len(m[0]) - len(m[0].lstrip())
-            known.append((number, *found, m.start() + lead, m.start() + len(m[0].rstrip())))
+            (name, named), after = found
+            known.append((number + 1, name, named, pieces[at][1], pieces[after - 1][2]))
+            number += 1
+            at = after
+        else:
+            number += pieces[at][3]
+            at += 1
     out, used = [], set()
     for at in range(len(known)):
         if at in used:
