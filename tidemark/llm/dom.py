@@ -36,7 +36,8 @@ BREAK = None
 
 
 class Nodes:
-    """Nodes of a page in the order of their start; node 0 is the page itself.
+    """Nodes of a page in the order of their start; node 0 is the page itself, and
+    text that stands at its root is in an implied body, the last node.
 
     A node's subtree is the range from its number to ``end``. ``segments`` are
     (node, text) in page order, with (node, BREAK) where a block begins or ends.
@@ -126,6 +127,11 @@ def parse(page: str) -> Nodes:
             rest = rest[:cut]
         text(rest)
     pop_to(0)
+    if any(node == 0 and t and not t.isspace() for node, t in segments):
+        body = len(tags)
+        tags.append("body"), parents.append(0), depths.append(1), ends.append(body + 1)
+        out.tokens.append(()), out.hidden.append(False)
+        out.segments = [(body if node == 0 else node, t) for node, t in segments]
     ends[0] = len(tags)
     return out
 

@@ -327,7 +327,7 @@ def extract(pages: list[str | None], trees: Trees) -> list[str]:
     out = []
     for nodes, margin in zip(parsed, margins):
         kept = decode(margin, nodes.parent, np.array(nodes.end))
-        out.append(dom.blocks(s for s in nodes.segments if s[1] is dom.BREAK or kept[s[0]] and s[0]))
+        out.append(dom.blocks(s for s in nodes.segments if s[1] is dom.BREAK or kept[s[0]]))
     return out
 
 
@@ -337,7 +337,7 @@ def main_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     ``pages`` has page_id, url and html; other columns are ignored. Text is the
     kept elements' blocks in page order, joined by line ends; it is empty for a
     null or empty html and where no element is kept. Text outside any element
-    is not kept. Repeated rows and null ids stay. Nothing is dropped or capped.
+    is an implied body's. Repeated rows and null ids stay. Nothing is dropped or capped.
     """
     trees = trees or model()
 
