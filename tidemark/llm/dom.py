@@ -7,7 +7,7 @@ import re
 
 #: Markup: comments, raw-text elements, declarations, end tags, start tags with their attributes.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg)(?=[\s/>]|\Z)(?:(?<=svg)(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>|[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z))"
     r"|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.DOTALL | re.IGNORECASE,
 )
