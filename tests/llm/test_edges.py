@@ -39,6 +39,13 @@ def test_quality_rules(docs, none):
     assert quality_rules.ablation(quality_rules.ledger(none)).count() == len(quality_rules.RULES)
 
 
+def test_quality_keep_uses_the_ledgers_bits(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60))), (2, "too short")], "doc_id long, text string")
+    assert [r.doc_id for r in quality_rules.keep(docs).collect()] == [1]
+    monkeypatch.setattr(quality_rules, "failure_bits", lambda: F.lit(quality_rules.mask_of("symbols")).cast("long"))
+    assert quality_rules.keep(docs, "base").count() == 2 and quality_rules.keep(docs).count() == 0
+
+
 def test_near_dedup(docs, none):
     rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(docs).collect()]
     assert len(rows) == len(TEXTS)

@@ -153,17 +153,12 @@ def ablation(ledger_rows: DataFrame, policy: str = "v1", rules: tuple[Rule, ...]
 def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of ``docs`` whose document passes the policy, with all their columns.
 
-    The verdict is made beside the text in one pass, without a join.
+    The ledger's bits are made beside the row in one pass, without a join, and
+    the policy's mask is applied to them.
     """
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    rules = [r for r in RULES if POLICIES[policy] >> r.bit & 1]
-    kept = inner.withColumn("m", _measures_udf()(F.col("text")))
-    failed = reduce(lambda a, b: a | b, (F.expr(_qualified(r.fails)) for r in rules), F.lit(False))
-    return kept.filter(~failed).select("row.*")
-
-
-def _qualified(condition: str) -> str:
-    return re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"m.\1", condition)
+    measured = inner.withColumn("m", _measures_udf()(F.col("text"))).select("row", "m.*")
+    return measured.withColumn("failed", failure_bits()).filter(passes(F.col("failed"), policy)).select("row.*")
 
 
 def _measures_udf():
