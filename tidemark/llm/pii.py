@@ -133,15 +133,15 @@ def revealing_terms(docs: DataFrame, generalise: float = GENERALISE) -> tuple[Da
     """Base spans of every document, and the terms to hide by document.
 
     The first table has doc_id, mark (a hash of the text) and base, a row for
-    each row of ``docs``; the second doc_id, mark and terms, an array of
-    (term, removed). Term and entity meet anywhere in a text. All counts are of
+    each row of ``docs``; the second doc_id, mark, text, base and terms, an array
+    of (term, removed), for each distinct document that has any. Term and entity meet anywhere in a text. All counts are of
     distinct texts, so that copying changes no term's score.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     based = with_base_spans(rows.withColumn("mark", F.xxhash64("text")))
     held = F.size("base") > 0
     entities = F.array_distinct(F.transform("base", _entity))
-    found, _ = written(based.select("doc_id", "mark", "base", F.when(held, entities).alias("entities"), F.when(held, _terms(F.col("text"))).alias("terms"), F.when(held, _names(F.col("text"))).alias("names")))
+    found, _ = written(based.select("doc_id", "mark", "base", F.when(held, F.col("text")).alias("text"), F.when(held, entities).alias("entities"), F.when(held, _terms(F.col("text"))).alias("terms"), F.when(held, _names(F.col("text"))).alias("names")))
     base_only = found.select("doc_id", "mark", "base")
     holders = found.where(held)
     texts, _ = written(holders.groupBy("mark").agg(*(F.any_value(c).alias(c) for c in ("entities", "terms", "names"))))
@@ -168,7 +168,7 @@ def revealing_terms(docs: DataFrame, generalise: float = GENERALISE) -> tuple[Da
     flagged = joint.where((share >= generalise) & (given >= LEAST_GIVEN_TERM)).select("group", "term", (share >= REMOVE).alias("removed"))
     hidden = pairs.join(flagged, ["group", "term"]).groupBy("mark", "term").agg(F.max("removed").alias("removed"))
     hidden, _ = written(hidden.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("term", "removed"))).alias("terms")))
-    hidden = holders.select("doc_id", "mark").distinct().join(hidden, "mark").select("doc_id", "mark", "terms")
+    hidden = holders.select("doc_id", "mark", "text", "base").dropDuplicates(["doc_id", "mark"]).join(hidden, "mark").select("doc_id", "mark", "text", "base", "terms")
     return base_only, written(hidden)[0]
 
 
@@ -191,10 +191,7 @@ def find(docs: DataFrame) -> DataFrame:
     id are judged each by its own text. An empty table gives an empty one.
     """
     base, hidden = revealing_terms(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    again = _joined(rows, hidden, "inner").dropDuplicates(["doc_id", "mark"])
-    again = _with_term_spans(with_base_spans(again), "base", "more").select("doc_id", "mark", "more")
-    again, _ = written(again)
+    again, _ = written(_with_term_spans(hidden, "base", "more").select("doc_id", "mark", "more"))
     out = _joined(base, again, "left")
     return out.select("doc_id", "base", F.when(F.size("more") > 0, F.array_sort(F.concat("base", "more"))).otherwise(F.col("base")).alias("spans"))
 
@@ -224,7 +221,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     _, hidden = revealing_terms(docs)
     names = docs.columns
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    inner = _with_term_spans(with_base_spans(_joined(inner, hidden, "left")), "base", "more")
+    # Texts without an entity stay as they are, and meet no join.
+    based = with_base_spans(inner)
+    plain = based.where(F.size("base") == 0).select("row.*")
+    inner = _with_term_spans(_joined(based.where(F.size("base") > 0), hidden.select("doc_id", "mark", "terms"), "left"), "base", "more")
     removed = F.transform(F.filter("terms", lambda t: t["removed"]), lambda t: t["term"])
     labels = F.array(*(F.lit(PLACEHOLDERS[k]) for k in KINDS))
     label = lambda s: F.when(F.coalesce(F.array_contains(removed, F.lower(s["hit"])) & (s["kind"] == KINDS.index("term")), F.lit(False)), F.lit("")).otherwise(F.get(labels, s["kind"]))
@@ -248,4 +248,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out.append(F.when(F.size("spans") > 0, F.length("clean")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             out.append(F.col("row").getField(c).alias(c))
-    return inner.select(*out)
+    return inner.select(*out).union(plain)
