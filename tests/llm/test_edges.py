@@ -52,7 +52,17 @@ def test_near_dedup(docs, none):
     assert rows.count((1, 2, 1, True)) == 2 and (None, 2, 1, False) in rows and (2, 0, 2, True) in rows and (3, 0, 3, True) in rows and (None, 0, None, True) in rows
     assert near_dedup.groups(none).count() == 0
     kept = near_dedup.keep(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.schema["text"] == docs.schema["text"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, TEXTS[0][1]), (2, ""), (0, ""), *((i, t) for i, t in TEXTS[5:])])
+    assert near_dedup.keep(none).count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group_whatever_its_id(spark):
+    u, w, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "uwz")
+    kept = lambda rows: sorted((r.doc_id or 0, r.text) for r in near_dedup.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept([(1, u), (1, u), (None, u), (5, u), (5, w)]) == [(1, u), (5, w)]
+    assert kept([(1, u), (None, u), (None, z)]) == [(0, z), (1, u)]
+    assert kept([(None, u), (None, u + " more"), (2, w), (2, z)]) in ([(0, u), (2, w), (2, z)], [(0, u + " more"), (2, w), (2, z)])
 
 
 def test_decontamination(docs, none, items):
@@ -63,7 +73,7 @@ def test_decontamination(docs, none, items):
     assert decontamination.search(none, items).count() == 0
     assert decontamination.search(docs, items.limit(0)).where("n_hit > 0").count() == 0
     kept = decontamination.keep(docs, items)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4, 5, 6, 7}
+    assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {*TEXTS[2:3], *TEXTS[4:]}
 
 
 def test_pii(docs, none):

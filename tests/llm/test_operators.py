@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 
@@ -79,8 +80,9 @@ def test_near_dedup_is_brute_force(spark):
 
 
 def test_a_chain_of_near_copies_with_many_open_buckets(spark, monkeypatch):
-    """Drifting copies: neighbours link, distant ones do not; blocks are made tiny."""
+    """Drifting copies: neighbours link, distant ones do not; blocks are made tiny, and most keys are hot."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(common, "LEAST_PART", 3)
     rng = random.Random(6)
     text, texts = babble(rng, 120, 10**6), []
     for _ in range(60):
@@ -123,6 +125,30 @@ def test_components(spark, local):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_join_dealt(spark, monkeypatch):
+    """Hot keys are dealt to parts without losing or repeating a row."""
+    monkeypatch.setattr(common, "LEAST_PART", 10)
+    rows = spark.range(500).selectExpr("id", "case when id < 300 then 0 else id % 50 end as k")
+    side = spark.range(60).selectExpr("id as k", "id * 2 as v")
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for how, there in (("inner", side.where("k <> 7")), ("left", side.where("k <> 7"))):
+        found = sorted((r.id, r.k, r.v) for r in common.join_dealt(rows, there, ["k"], counts, "id", how).collect())
+        expected = [(r.id, r.k, None if r.k == 7 else 2 * r.k) for r in rows.collect() if how == "left" or r.k != 7]
+        assert found == sorted(expected, key=lambda x: x[:2])
+
+
+def test_scratch_tables_go(spark):
+    put = common.Scratch()
+    a, b = put(spark.range(3)), put(spark.range(4))
+    folder = common.shared_dir(spark)[len("file://"):]
+    before = set(os.listdir(folder))
+    put.end(b)
+    gone = before - set(os.listdir(folder))
+    assert len(gone) == 1 and b.count() == 4
+    near_dedup.groups(write_docs(spark, ["a b c d e f", "a b c d e f g"])).count()
+    assert len(set(os.listdir(folder)) - before) <= 2
+
+
 # Quality
 
 def brute_measures(text):
@@ -175,7 +201,8 @@ def test_discriminant_is_the_gaussian_formula():
 
 # Benchmark windows
 
-def test_decontamination_is_brute_force(spark):
+def test_decontamination_is_brute_force(spark, monkeypatch):
+    """In one block, and with items cut to pieces that are searched in many blocks."""
     rng = random.Random(11)
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     item_words = [babble(rng, n, 30) for n in (3, 9, 10, 11, 40, 25)]
@@ -192,6 +219,7 @@ def test_decontamination_is_brute_force(spark):
         texts.append(rng.choice([" ", ", ", "\n"]).join(w))
     texts += ["x Éa é y", "éa É", None, items_twin * 2]
     found = decontamination.search(write_docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).orderBy("doc_id").collect()
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 7)
     blocked = decontamination.search(write_docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block_words=20).orderBy("doc_id").collect()
     for r, s, t in zip(found, blocked, texts):
         w, hit, its = split(t), set(), set()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_path, written
+from tidemark.llm.common import Scratch
 
 #: Links that one union-find holds.
 LOCAL = 1_000_000
@@ -70,7 +70,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60, local: int = LOCAL) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, local: int = LOCAL, put: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of a link; root is the least node of its component.
 
     ``links`` has columns u and v; self links and repeats do no harm, nulls are
@@ -78,16 +78,17 @@ def components(links: DataFrame, most_rounds: int = 60, local: int = LOCAL) -> D
     of a component's width; each is written to the shared folder.
     """
     links = links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    links, path = written(links)
+    put = put or Scratch()
+    links = put(links)
     for _ in range(most_rounds):
         n = links.count()
         tasks = max(1, -(-n // local))
-        links = links.coalesce(tasks).mapInArrow(_forests, "u long, v long")
+        after = links.coalesce(tasks).mapInArrow(_forests, "u long, v long")
         if tasks > 1:
-            links = _star(_star(links, True), False)
-        after, next_path = written(links)
-        drop_path(after.sparkSession, path)
-        links, path = after, next_path
+            after = _star(_star(after, True), False)
+        after = put(after)
+        put.drop(links)
+        links = after
         if tasks == 1 or _settled(links):
             break
     else:

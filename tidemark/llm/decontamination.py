@@ -1,39 +1,48 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is dealt by document: each stored row holds one training document's
-postings, that is the test terms it has, how often, and the positions of each
-in ascending order. Posting lists of a shard are the rows of a batch laid end
-to end. A window of a test item is found by taking the list of its rarest term
-(the shortest list over the whole corpus), moving it by the term's offset in
-the window, and intersecting it with the moved lists of the next rarest terms.
-A phrase match needs every term at its place; a proximity match needs the
-rarest few within some words of their places.
+The index holds the postings of every token of the training documents, so that
+it is built once and any benchmark can be searched in it. It is dealt by
+document: each stored row holds one document's postings, that is its distinct
+terms (64-bit numbers of the words), how often each comes, and the positions of
+each in ascending order. Posting lists of a shard are the rows of a batch laid
+end to end, of which a search lays out only the terms it asks for. A window of
+a test item is found by taking the list of its rarest term (the shortest list
+over the whole corpus), moving it by the term's offset in the window, and
+intersecting it with the moved lists of the next rarest terms. A phrase match
+needs every term at its place; a proximity match needs the rarest few within
+some words of their places.
 
 Nothing is shuffled but the list lengths of the test terms. The test side is
-taken in blocks of a bounded number of words, so what is sent to executors is
-bounded however large the benchmark is.
+taken in blocks of a bounded number of words, long items piece by piece, so
+what is sent to executors is bounded however large the benchmark is; each
+further block reads the index again, not the documents.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, frugal, parts
+from tidemark.llm.shingles import word_numbers
 
 WINDOW = 10
-#: Words of a block of test items; bounds what an executor gets at once.
+#: Words of a block of test items, and of a piece of a long item; they bound what an executor gets at once.
 BLOCK_WORDS = 500_000
+PIECE_WORDS = 20_000
 #: A proximity match: so many rarest terms, each within so many words of its place.
 NEAR_TERMS = 3
 NEAR_WORDS = 5
 #: Candidates that are checked at once.
 _CHUNK = 2_000_000
+#: Bytes of positions that a search lays out at once.
+_LAID = 4 << 20
 
 #: Bytes of words: digits, lower-case letters and everything outside ASCII; A-Z are lowered, the rest separates.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -48,91 +57,98 @@ def words_of(text: bytes | None) -> list[bytes]:
 class TestTerms:
     """A block of test items: its vocabulary and its distinct windows."""
 
-    vocabulary: dict[bytes, int]
+    vocabulary: np.ndarray  # the terms' 64-bit numbers, ascending
     items: np.ndarray  # the ids of its items
-    windows: list[tuple[int, ...]]  # distinct windows, as term numbers
+    windows: list[tuple[int, ...]]  # distinct windows, as places in the vocabulary
     owners: list[list[int]]  # for each window, the numbers of the items that have it
 
     @classmethod
     def of(cls, rows: list[tuple[int, bytes]], window: int) -> "TestTerms":
-        vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
         ids = sorted({i for i, _ in rows})
         number = {i: k for k, i in enumerate(ids)}
-        for item, text in rows:
-            terms = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-            for at in range(max(1, len(terms) - window + 1) if terms else 0):
-                found.setdefault(tuple(terms[at : at + window]), set()).add(number[item])
+        words, first, count = word_numbers([t for _, t in rows], _WORD_BYTES)
+        vocabulary, terms = np.unique(words, return_inverse=True)
+        for (item, _), at, n in zip(rows, first.tolist(), count.tolist()):
+            own = terms[at : at + n].tolist()
+            for k in range(max(1, n - window + 1) if n else 0):
+                found.setdefault(tuple(own[k : k + window]), set()).add(number[item])
         return cls(vocabulary, np.array(ids, dtype=np.int64), list(found), [sorted(x) for x in found.values()])
 
 
-def _indexer(vocabulary: dict[bytes, int]):
-    """Texts to postings: terms, their counts, and positions sorted by term, as little-endian int32."""
-
-    def run(batches):
-        get, size = vocabulary.get, max(len(vocabulary), 1)
-        part, row = None, 0
-        for batch in batches:
-            if part is None:
-                from pyspark import TaskContext
-
-                part = TaskContext.get().partitionId()
-            lists = [words_of(t) for t in batch.column(1).to_pylist()]
-            n_words = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            total = int(n_words.sum())
-            terms = np.fromiter(map(get, chain.from_iterable(lists), repeat(-1)), dtype=np.int64, count=total)
-            del lists
-            starts = np.concatenate([[0], np.cumsum(n_words)])
-            known = np.flatnonzero(terms >= 0)
-            doc = np.searchsorted(starts, known, side="right") - 1
-            key = doc * size + terms[known]
-            order = np.argsort(key, kind="stable")
-            key, known, doc = key[order], known[order], doc[order]
-            positions = (known - starts[doc]).astype("<i4")
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-            counts = np.diff(np.concatenate([first, [len(key)]])).astype("<i4")
-            n = len(n_words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(row, row + n, dtype=np.int64)), pa.array(n_words),
-                    _binary((key[first] % size).astype("<i4"), np.bincount(doc[first], minlength=n)),
-                    _binary(counts, np.bincount(doc[first], minlength=n)),
-                    _binary(positions, np.bincount(doc, minlength=n)),
-                ],
-                names=["doc_id", "part", "row", "n_words", "terms", "counts", "positions"],
-            )
-            row += n
-
-    return run
+def _index(batches):
+    """Texts to postings: distinct terms (u64), their counts and their positions (i4), little-endian, by term."""
+    from pyspark import TaskContext
+
+    uid = TaskContext.get().partitionId() << 40
+    for batch in parts(batches, 1):
+        n = batch.num_rows
+        words, _, count = word_numbers(batch.column(1).to_pylist(), _WORD_BYTES)
+        doc = np.repeat(np.arange(n), count)
+        order = np.argsort(words, kind="stable")
+        order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]  # a part has far fewer rows
+        words, doc = words[order], doc[order]
+        begins = np.cumsum(count) - count
+        positions = (order - begins[doc]).astype("<i4")
+        fresh = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])])) if len(words) else np.zeros(0, dtype=np.int64)
+        per_doc = np.bincount(doc[fresh], minlength=n)
+        counts = np.diff(np.concatenate([fresh, [len(words)]])).astype("<i4")
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array(np.arange(uid, uid + n, dtype=np.int64)), pa.array(count.astype(np.int64)),
+                _binary(words[fresh].astype("<u8"), per_doc), _binary(counts, per_doc), _binary(positions, count), *batch.columns[1:],
+            ],
+            names=["doc_id", "uid", "n_words", "terms", "counts", "positions", *batch.schema.names[1:]],
+        )
+        uid += n
 
 
 def _binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Runs of ``values``, one for each row, as a binary column."""
-    offsets = np.concatenate([[0], np.cumsum(lengths * 4)]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(lengths * values.itemsize)]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def build_index(docs: DataFrame, terms: TestTerms) -> DataFrame:
-    """Postings of the test terms in every document; one row per row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    schema = "doc_id long, part int, row long, n_words long, terms binary, counts binary, positions binary"
-    return written(rows.mapInArrow(_indexer(terms.vocabulary), schema))[0]
+def build_index(docs: DataFrame, put, carry: bool = False) -> DataFrame:
+    """Postings of every token of every document; one row per row of ``docs``, numbered by ``uid``.
+
+    With ``carry`` the text comes along, and all columns of ``docs`` but a
+    string ``text`` as a struct ``row``.
+    """
+    row = [F.struct(*(F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" or f.dataType != T.StringType())).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *row)
+    kinds = T.StructType.fromDDL("doc_id long, uid long, n_words long, terms binary, counts binary, positions binary")
+    for f in rows.schema.fields[1:]:
+        kinds.add(f.name, f.dataType)
+    found = rows.mapInArrow(frugal(_index), kinds)
+    return put(found if carry else found.drop("text"))
+
+
+def _joined(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _known(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the terms are in the vocabulary, and their places there."""
+    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+    here = np.flatnonzero(vocabulary[at] == terms)
+    return here, at[here]
 
 
 def list_lengths(index: DataFrame, terms: TestTerms) -> np.ndarray:
     """The length of each test term's posting list over the corpus."""
-    size = len(terms.vocabulary)
+    vocabulary, size = terms.vocabulary, len(terms.vocabulary)
 
     def run(batches):
         total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            t, c = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<i4") for k in (0, 1))
-            total += np.bincount(t, weights=c, minlength=size).astype(np.int64)
+        for batch in parts(batches, 0, _LAID) if size else ():
+            here, at = _known(vocabulary, _joined(batch.column(0), "<u8"))
+            total += np.bincount(at, weights=_joined(batch.column(1), "<i4")[here], minlength=size).astype(np.int64)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["term", "n"])
 
     out = np.zeros(size, dtype=np.int64)
-    for r in index.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in index.select("terms", "counts").mapInArrow(frugal(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out
 
@@ -159,17 +175,18 @@ def _probes(terms: TestTerms, lengths: np.ndarray) -> list[_Probe]:
 
 
 class _Lists:
-    """The posting lists of a batch: term by term, positions ascending over all its documents."""
+    """The test terms' posting lists of a batch (n_words, terms, counts, positions): term by term, positions ascending over all its documents."""
 
-    def __init__(self, batch: pa.RecordBatch, gap: int):
+    def __init__(self, batch: pa.RecordBatch, vocabulary: np.ndarray, gap: int):
         n_words = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(n_words + gap)])
-        t, c, p = (batch.column(k).to_pylist() for k in (1, 2, 3))
-        per_doc = np.fromiter((len(x) // 4 for x in p), dtype=np.int64, count=len(p))
-        term = np.repeat(np.frombuffer(b"".join(t), dtype="<i4").astype(np.int64), np.frombuffer(b"".join(c), dtype="<i4"))
-        place = np.frombuffer(b"".join(p), dtype="<i4").astype(np.int64) + np.repeat(self.starts[:-1], per_doc)
         self.span = int(self.starts[-1]) + gap + 1
-        self.keys = np.sort(term * self.span + place)
+        entries, counts, positions = (_joined(batch.column(k), d) for k, d in ((1, "<u8"), (2, "<i4"), (3, "<i4")))
+        doc = np.repeat(np.arange(batch.num_rows), np.fromiter((len(t) // 8 for t in batch.column(1).to_pylist()), dtype=np.int64, count=batch.num_rows))
+        here, term = _known(vocabulary, entries) if len(vocabulary) else (np.zeros(0, dtype=np.int64),) * 2
+        first, n = (np.cumsum(counts, dtype=np.int64) - counts)[here], counts[here].astype(np.int64)
+        place = positions[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)] + np.repeat(self.starts[doc[here]], n)
+        self.keys = np.sort(np.repeat(term, n) * self.span + place)
 
     def bounds(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.searchsorted(self.keys, term * self.span), np.searchsorted(self.keys, (term + 1) * self.span)
@@ -186,7 +203,7 @@ class _Lists:
         return (self.keys[at] >= low) & (self.keys[at] <= term * self.span + place + within)
 
 
-def _searcher(probes: list[_Probe], owners: list[list[int]], items: np.ndarray, gap: int):
+def _searcher(vocabulary: np.ndarray, probes: list[_Probe], owners: list[list[int]], items: np.ndarray, gap: int):
     owner_of = np.array(list(chain.from_iterable(owners)), dtype=np.int64)
     owner_at = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
     length_of = {int(k): p.terms.shape[1] for p in probes for k in p.number}
@@ -229,8 +246,8 @@ def _searcher(probes: list[_Probe], owners: list[list[int]], items: np.ndarray,
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(items[item])), pairs
 
     def run(batches):
-        for batch in batches:
-            lists = _Lists(pa.RecordBatch.from_arrays([batch.column(i) for i in (3, 4, 5, 6)], names=["n", "t", "c", "p"]), gap)
+        for batch in parts(batches, 5, _LAID):
+            lists = _Lists(pa.RecordBatch.from_arrays([batch.column(i) for i in (2, 3, 4, 5)], names=["n", "t", "c", "p"]), vocabulary, gap)
             (w, start), (near_w, near_at) = matches(lists)
             n_docs = batch.num_rows
             hit, _ = per_doc_items(w, start, lists, n_docs)
@@ -246,12 +263,12 @@ def _searcher(probes: list[_Probe], owners: list[list[int]], items: np.ndarray,
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n_docs))]).astype(np.int32)
             base = lists.starts[doc]
             spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start - base), pa.array(end - base)], names=["start", "end"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), spans, hit, near], names=["doc_id", "part", "row", "n_words", "spans", "items", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), spans, hit, near], names=["doc_id", "uid", "n_words", "spans", "items", "near"])
 
     return run
 
 
-_FOUND = "doc_id long, part int, row long, n_words long, spans array<struct<start: long, end: long>>, items array<long>, near array<long>"
+_FOUND = "doc_id long, uid long, n_words long, spans array<struct<start: long, end: long>>, items array<long>, near array<long>"
 
 
 def _covered(spans):
@@ -261,6 +278,40 @@ def _covered(spans):
         (a["n"] + F.greatest(s["end"] - F.greatest(a["reach"], s["start"]), F.lit(0))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach")), lambda a: a["n"])
 
 
+def _pieces(window: int):
+    """Items in pieces of PIECE_WORDS words; neighbours share window - 1 words, so that no window is lost."""
+    def run(batches):
+        for batch in batches:
+            owner, at, out = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                words = words_of(text)
+                for a in range(0, max(1, len(words) - window + 1) if words else 0, PIECE_WORDS):
+                    some = words[a : a + PIECE_WORDS + window - 1]
+                    owner.append(k), at.append(len(some)), out.append(b" ".join(some))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(at, pa.int64()), pa.array(out, pa.binary())], names=["item_id", "n", "words"])
+
+    return run
+
+
+def search_index(index: DataFrame, items: DataFrame, put, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Matches of the test items in an index: doc_id, uid, n_words, n_hit, spans, items and near."""
+    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id is not null and text is not null")
+    wanted = put(wanted.mapInArrow(frugal(_pieces(window)), "item_id long, n long, words binary").distinct())
+    n_blocks = max(1, -(-(wanted.agg(F.sum("n")).first()[0] or 0) // block_words))
+    found = None
+    for block in range(n_blocks):
+        some = wanted if n_blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)) == block)
+        terms = TestTerms.of([(r[0], bytes(r[1])) for r in some.select("item_id", "words").sort("item_id", "words").collect()], window)
+        probes = _probes(terms, list_lengths(index, terms))
+        run = _searcher(terms.vocabulary, probes, terms.owners, terms.items, window + NEAR_WORDS)
+        one = index.select("doc_id", "uid", "n_words", "terms", "counts", "positions").mapInArrow(frugal(run), _FOUND)
+        found = one if found is None else found.unionByName(one)
+    if n_blocks > 1:
+        merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+        found = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), merged("spans").alias("spans"), merged("items").alias("items"), merged("near").alias("near"))
+    return found.select("doc_id", "uid", "n_words", _covered(F.col("spans")).alias("n_hit"), "spans", "items", "near")
+
+
 def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Matches of the test items in every document.
 
@@ -273,30 +324,23 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words:
     repeat an id count as one item with all their windows. An empty benchmark
     matches nothing; an empty corpus gives an empty table.
     """
-    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    size = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // (2 * block_words)))  # a word and its separator take two characters at least
-    found = None
-    for block in range(n_blocks):
-        some = wanted if n_blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
-        terms = TestTerms.of([(r[0], r[1].encode()) for r in some.sort("item_id", "text").collect()], window)
-        index = build_index(docs, terms)
-        probes = _probes(terms, list_lengths(index, terms))
-        one = index.mapInArrow(_searcher(probes, terms.owners, terms.items, window + NEAR_WORDS), _FOUND)
-        found = one if found is None else found.unionByName(one)
-    if n_blocks > 1:
-        merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-        found = found.groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), merged("spans").alias("spans"), merged("items").alias("items"), merged("near").alias("near"))
-    return found.select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "spans", "items", "near")
+    put = Scratch()
+    out = put(search_index(build_index(docs, put), items, put, window, block_words).drop("uid"))
+    put.end(out)
+    return out
 
 
 def keep(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of a test item, with all their columns.
 
-    The ids of matched documents are written and left out by an anti join,
-    which Spark broadcasts only where their size allows. Rows with a null id
-    are judged together: if one of them matches, they all go.
+    The matched rows' numbers are written and left out by an anti join, which
+    Spark broadcasts only where their size allows. Rows are told apart by their
+    place, so null and repeated ids are judged each by its own text.
     """
-    hit = search(docs, items, window).where("n_hit > 0").select("doc_id").distinct()
-    hit = written(hit)[0].withColumnRenamed("doc_id", "_hit_id")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit_id"]), "left_anti")
+    put = Scratch()
+    index = build_index(docs, put, carry=True)
+    hit = put(search_index(index, items, put, window).where("n_hit > 0").select("uid"))
+    put.end(index, hit)
+    rows = index.join(hit, "uid", "left_anti")
+    carried = {f.name for f in index.schema["row"].dataType}
+    return rows.select(*(F.col("row").getField(c).alias(c) if c in carried else F.col("text").cast("string").alias(c) for c in docs.columns))

@@ -2,14 +2,17 @@
 
 Each permutation is evaluated once and gives two signature values, the least
 and the greatest hash of the set. Bands of four values, from four different
-permutations, make buckets. Texts with equal sets are one class from the start.
+permutations, make buckets. Texts with equal sets (by 128 bits of sums over the
+sets) are one class from the start, so exact copies take part in no join.
 
 Pairs of a bucket are never listed. Each bucket's classes are compared with the
 bucket's pivot; components of the confirmed links then close all buckets whose
-other classes lie in one component. What is still open is compared in blocks of
+classes lie in one component. What is still open is compared in blocks of
 bounded size: first on 64-byte sketches, which leave the classes that have a
 possible partner in another component, then on full sets, which give the links.
-Links are confirmed on full sets throughout.
+Blocks of the pivot's own component don't meet each other. Links are confirmed
+on full sets throughout. Joins on buckets, pivots, components and digests deal
+a hot key's rows to several parts.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, frugal, join_dealt, parts
 from tidemark.llm.components import components
 from tidemark.llm.shingles import by_bytes, many_sets, mix, shingle_sets
 
@@ -38,7 +42,8 @@ LEAST_AGREEING = 68
 _rng = np.random.default_rng(75)
 _A = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
-_C = _rng.integers(0, 1 << 64, 6, dtype=np.uint64) | np.uint64(1)
+_C = _rng.integers(0, 1 << 64, 5, dtype=np.uint64) | np.uint64(1)
+_D = _rng.integers(0, 1 << 64, 2, dtype=np.uint64)
 
 
 def min_max(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,46 +75,52 @@ def _sign(batches):
     from pyspark import TaskContext
 
     uid = TaskContext.get().partitionId() << 40
-    for batch in batches:
+    for batch in parts(batches, 1):
         texts = batch.column(1).to_pylist()
-        for a, b in by_bytes(texts):
-            sets, bounds = shingle_sets(texts[a:b])
-            n = np.diff(bounds)
-            some = np.flatnonzero(n)
-            cls, bands, sketch = np.zeros(b - a, dtype=np.int64), [None] * (b - a), [None] * (b - a)
-            if len(some):
-                at = bounds[some]
-                low, high = min_max(sets, at)
-                cls[some] = mix(np.add.reduceat(mix(sets ^ _C[5]), at) + n[some].astype(np.uint64) * _C[0]).view(np.int64)
-                for i, keys, marks in zip(some.tolist(), band_keys(low, high), sketches(low, high)):
-                    bands[i], sketch[i] = keys, marks.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(a, b - a), pa.array(np.arange(uid, uid + b - a, dtype=np.int64)), pa.array(n),
-                    pa.array(cls, mask=n == 0), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(texts[a:b], pa.binary()),
-                ],
-                names=["doc_id", "uid", "n", "cls", "bands", "sketch", "text"],
-            )
-            uid += b - a
-
-
-_SIGNED = "doc_id long, uid long, n long, cls long, bands array<long>, sketch binary, text binary"
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """Class, band keys and sketch of every document, written to the shared folder with its text.
-
-    ``cls`` numbers equal sets: 64 bits of a sum over the set. It is null for
-    documents without words.
+        sets, bounds = shingle_sets(texts)
+        n = np.diff(bounds)
+        some = np.flatnonzero(n)
+        digest = np.zeros((2, len(n)), dtype=np.int64)
+        bands, sketch = [None] * len(n), [None] * len(n)
+        if len(some):
+            at = bounds[some]
+            low, high = min_max(sets, at)
+            for k in (0, 1):
+                digest[k, some] = mix(np.add.reduceat(mix(sets ^ _D[k]), at) + n[some].astype(np.uint64) * _C[k]).view(np.int64)
+            for i, keys, marks in zip(some.tolist(), band_keys(low, high), sketches(low, high)):
+                bands[i], sketch[i] = keys, marks.tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array(np.arange(uid, uid + len(n), dtype=np.int64)), pa.array(n), *(pa.array(d, mask=n == 0) for d in digest),
+                pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), *batch.columns[1:],
+            ],
+            names=["doc_id", "uid", "n", "h1", "h2", "bands", "sketch", *batch.schema.names[1:]],
+        )
+        uid += len(n)
+
+
+def signatures(docs: DataFrame, put, carry: bool = False) -> DataFrame:
+    """Digest, band keys and sketch of every document, written to the shared folder with its text.
+
+    ``uid`` numbers the rows. ``h1`` and ``h2`` are 128 bits of sums over the
+    set, null for documents without words. With ``carry`` the columns of
+    ``docs`` come as a struct ``row``, a string ``text`` left out.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return written(rows.mapInArrow(_sign, _SIGNED))[0]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *([F.struct(*_carried(docs)).alias("row")] if carry else []))
+    kinds = T.StructType.fromDDL("doc_id long, uid long, n long, h1 long, h2 long, bands array<long>, sketch binary")
+    for f in rows.schema.fields[1:]:
+        kinds.add(f.name, f.dataType)
+    return put(rows.mapInArrow(frugal(_sign), kinds))
+
+
+def _carried(docs: DataFrame):
+    return [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" or f.dataType != T.StringType()]
 
 
 def _confirm_batches(batches):
     """Rows (a, b, text_a, text_b), mostly sorted by a: those whose sets link."""
     held, last = None, None
-    for batch in batches:
+    for batch in parts(batches, 3):
         a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
         for i, j in by_bytes(text_b):
             sets, bounds = shingle_sets(text_b[i:j])
@@ -136,20 +147,24 @@ def _sketch_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same >= LEAST_AGREEING))
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _both_sides(pairs: DataFrame, classes: DataFrame, columns: list[str], put) -> DataFrame:
+    """The pairs (a, b) with columns of both classes as c_a and c_b. One class may be ``a`` of any number of pairs."""
+    side = lambda c: classes.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
+    # Pairs and classes follow the data, so neither is broadcast, however few there are.
+    counts = put(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    return join_dealt(pairs.join(side("b").hint("merge"), "b"), side("a"), ["a"], counts, "b")
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, put) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow a link; written."""
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").where(_near_sizes("n_a", "n_b"))
-    return written(rows.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_sketch_batches, "a long, b long"))[0]
+    rows = _both_sides(pairs, classes, ["n", "sketch"], put).where(_near_sizes("n_a", "n_b"))
+    return put(rows.select("a", "b", "sketch_a", "sketch_b").mapInArrow(frugal(_sketch_batches), "a long, b long"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, put) -> DataFrame:
     """The pairs (a, b) of classes whose full sets link; written."""
-    text_b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    text_a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-    # Pairs follow the data, so they are never broadcast, however few there are.
-    rows = pairs.hint("merge").join(text_b, "b").hint("merge").join(text_a, "a").select("a", "b", "text_a", "text_b")
-    return written(rows.mapInArrow(_confirm_batches, "a long, b long"))[0]
+    rows = _both_sides(pairs, texts, ["text"], put).select("a", "b", "text_a", "text_b")
+    return put(rows.mapInArrow(frugal(_confirm_batches), "a long, b long"))
 
 
 def _near_sizes(a: str, b: str):
@@ -176,7 +191,7 @@ def _with_partners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     for i, other in _partners(key, rows):
         found[i] = True
         found[other] = True
-    return rows.loc[found, ["bucket", "cls", "root", "n"]]
+    return rows.loc[found, ["bucket", "cls", "root", "n", "home"]]
 
 
 def _linked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -195,27 +210,80 @@ def _linked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Each bucket's classes dealt to blocks, once for each pair of blocks; a group has two blocks at most."""
-    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    rows = rows.join(rows.groupBy("bucket").agg(count.cast("int").alias("n_blocks")), "bucket")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls", "bucket"), F.col("n_blocks")).cast("int"))
-    ends = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    return rows.withColumn("ij", F.explode(ends)).select("*", "ij.i", "ij.j").drop("ij", "n_blocks")
+def _dealt(rows: DataFrame, put) -> DataFrame:
+    """Each bucket's classes dealt to blocks, once for each pair of blocks that must meet; a group has two blocks at most.
 
+    Classes of the pivot's component are at home. Home blocks need meet no
+    other home block, so the work is the classes away from home times all.
+    """
+    def blocks(which):
+        return F.greatest(F.ceil(F.count(F.when(which, 1)) / BLOCK), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+
+    home = F.col("home")
+    sizes = put(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), blocks(home).alias("homes"), blocks(~home).alias("aways")))
+    rows = join_dealt(rows, sizes.where("aways > 0").drop("n"), ["bucket"], sizes, "cls")
+    at = F.xxhash64("cls", "bucket")
+    block = F.when(home, F.pmod(at, F.col("homes"))).otherwise(F.col("homes") + F.pmod(at, F.col("aways"))).cast("int")
+    last = F.col("homes") + F.col("aways") - 1
+    other = F.explode(F.sequence(F.when(home, F.col("homes")).otherwise(F.lit(0)), last))
+    rows = rows.select("bucket", "cls", "root", "n", "home", block.alias("block"), other.alias("other"))
+    return rows.select("bucket", "cls", "root", "n", "home", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _open_links(rows: DataFrame, texts: DataFrame, put) -> DataFrame:
+    """The links between classes of open buckets (bucket, cls, root, n, home) that differ in component; written."""
+    sketched = _dealt(rows, put).join(texts.select("cls", "sketch").hint("merge"), "cls")
+    some = put(sketched.groupBy("bucket", "i", "j").applyInPandas(_with_partners, "bucket long, cls long, root long, n long, home boolean").distinct())
+    whole = _dealt(some, put).join(texts.select("cls", "sketch", "text").hint("merge"), "cls")
+    return put(whole.groupBy("bucket", "i", "j").applyInPandas(_linked, "a long, b long").distinct())
+
+
+def _with_roots(rows: DataFrame, links: DataFrame, put) -> DataFrame:
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), put=put)
+    return rows.join(roots.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _still_open(members: DataFrame, links: DataFrame, put) -> DataFrame | None:
+    """The classes of buckets that hold more than one component, with whether each is at home; None if there are none."""
+    rows = put(_with_roots(members, links, put))
+    by_root = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("cls") == F.col("pivot")).alias("home"))
+    found = by_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_roots"), F.max(F.when(F.col("home"), F.col("root"))).alias("home")).where("n_roots > 1")
+    found = put(found.drop("n_roots"))
+    rows = put(join_dealt(rows.drop("pivot"), found.select("bucket", F.col("home").alias("_home")), ["bucket"], found.select("bucket", "n"), "cls").withColumn("home", F.col("root") == F.col("_home")).drop("_home"))
+    return None if rows.isEmpty() else rows
 
-def _open_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links between classes of open buckets (bucket, cls, root, n) that differ in component; written."""
-    sketched = _dealt(rows).join(texts.select("cls", "sketch"), "cls")
-    some = sketched.groupBy("bucket", "i", "j").applyInPandas(_with_partners, "bucket long, cls long, root long, n long").distinct()
-    some, _ = written(some)
-    whole = _dealt(some).join(texts.select("cls", "sketch", "text"), "cls")
-    return written(whole.groupBy("bucket", "i", "j").applyInPandas(_linked, "a long, b long").distinct())[0]
 
+def _judged(docs: DataFrame, put, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and for each of them uid, component_id and the uid of the row that stands for its component; both written."""
+    signed = signatures(docs, put, carry)
+    own = F.coalesce(F.min_by("uid", "doc_id"), F.min("uid")).alias("first")
+    # Equal sets are one class, so copies meet nothing below; a class's number is a row of it.
+    classes = put(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("least"), own, F.count(F.lit(1)).alias("n")))
+    held = put(signed.select(F.col("uid").alias("cls"), "n", "bands").join(classes.select("cls").hint("merge"), "cls"))
+    banded = held.select("cls", "n", F.explode("bands").alias("bucket"))
+    shared = put(banded.groupBy("bucket").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = put(join_dealt(banded, shared.drop("n"), ["bucket"], shared.select("bucket", "n"), "cls"))
+    put.drop(held)
+    wanted = members.select(F.col("cls").alias("uid")).distinct()
+    texts = put(signed.select(F.col("uid"), "n", "sketch", "text").join(wanted.hint("merge"), "uid").withColumnRenamed("uid", "cls"))
+
+    first = put(members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
+    tested = plausible(first, texts, put)
+    links = confirmed(tested, texts, put)
+    rest = _still_open(members, links, put)
+    if rest is not None:
+        links = links.unionByName(_open_links(rest, texts, put))
 
-def _with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
-    roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))[0]
-    return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    roots = put(_with_roots(classes.withColumnRenamed("first", "_first"), links, put))
+    own = F.coalesce(F.min_by("_first", "least"), F.min("_first")).alias("first")
+    least = put(roots.groupBy("root").agg(F.min("least").alias("component_id"), own, F.count(F.lit(1)).alias("n")))
+    named = join_dealt(roots.select("h1", "h2", "root", "n"), least.drop("n"), ["root"], least.select("root", "n"), "h1")
+    named = put(named.select("h1", "h2", "component_id", "first", "n"))
+    rows = join_dealt(signed.where("n > 0").select("doc_id", "uid", F.col("n").alias("n_shingles"), "h1", "h2"), named.drop("n"), ["h1", "h2"], named.select("h1", "h2", "n"), "uid")
+    alone = signed.where("n = 0").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("uid").alias("first"))
+    judged = put(rows.select(*alone.columns).unionByName(alone))
+    put.end(signed, judged)
+    return signed, judged
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -228,43 +296,23 @@ def groups(docs: DataFrame) -> DataFrame:
     id is never a group's least; a group of null ids alone has a null
     component_id, and its rows are kept. An empty table gives an empty one.
     """
-    signed = signatures(docs)
-    banded = signed.where("cls is not null").select("cls", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot < last").select("bucket", "pivot")
-    shared, _ = written(shared)
-    members, _ = written(banded.join(shared, "bucket").groupBy("bucket", "cls", "pivot").agg(F.max("n").alias("n")))
-
-    classes, _ = written(signed.where("cls is not null").groupBy("cls").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")))
-    wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "uid")
-    wanted, _ = written(wanted)
-    # The wanted texts follow the data, so their list is never broadcast, however short it is.
-    texts, _ = written(signed.select("uid", "n", "sketch", "text").hint("merge").join(wanted, "uid").select("cls", "n", "sketch", "text"))
-
-    first = members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    tested = plausible(first, texts)
-    links = confirmed(tested, texts)
-
-    rest = _still_open(_with_roots(members.where("cls <> pivot").select("bucket", "cls", "n"), links))
-    if rest is not None:
-        links = links.unionByName(_open_links(rest, texts))
-
-    roots = _with_roots(classes.select("cls", "least"), links)
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = written(roots.join(least, "root").select("cls", "component_id"))
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
-    whole = rows.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return whole.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _still_open(rows: DataFrame) -> DataFrame | None:
-    """The rows of buckets that hold classes of more than one component; None if there are none."""
-    roots = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    rows, _ = written(rows.join(roots, "bucket"))
-    return None if rows.isEmpty() else rows
+    put = Scratch()
+    signed, judged = _judged(docs, put, False)
+    put.drop(signed)
+    return judged.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, with all columns."""
-    dropped = groups(docs).where("not kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    dropped, _ = written(dropped)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped_id"]), "left_anti")
+    """The rows of ``docs`` that stay, with all columns: one row of each group.
+
+    A group is a component of linked texts, whatever its rows' ids are. The row
+    with the least doc_id stays (null ids come last), and one of them where
+    several rows have that id. Rows without words link with nothing and all
+    stay, repeated ones too. Rows are told apart by their place, not by their
+    id, so that a row never goes because another one of its id does.
+    """
+    signed, judged = _judged(docs, Scratch(), True)
+    dropped = judged.where("uid <> first").select("uid")
+    rows = signed.join(dropped, "uid", "left_anti")
+    carried = {f.name for f in signed.schema["row"].dataType}
+    return rows.select(*(F.col("row").getField(c).alias(c) if c in carried else F.col("text").cast("string").alias(c) for c in docs.columns))

@@ -65,11 +65,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"),
     )
 
 
-ORACLES["op10_decontamination"] = r"""
+ORACLES["op10_decontamination"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 bw AS (SELECT DISTINCT item_id, l, array_to_string(words[i:i + l - 1], ' ') AS w
@@ -79,10 +79,20 @@ dw AS (SELECT doc_id, l, i, array_to_string(words[i:i + l - 1], ' ') AS w
        FROM (SELECT doc_id, l, words, unnest(range(1, len(words) - l + 2)) AS i FROM d, ls WHERE len(words) >= l)),
 h AS (SELECT doc_id, dw.l, i, item_id FROM dw JOIN bw ON dw.l = bw.l AND dw.w = bw.w),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM h) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id),
+pos AS (SELECT doc_id, p, words[p] AS t FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM d)),
+seen AS (SELECT t, count(*) AS n FROM pos GROUP BY t),
+offs AS (SELECT w, o, string_split(w, ' ')[o] AS t FROM (SELECT DISTINCT w, unnest(range(1, l + 1)) AS o FROM bw)),
+ranked AS (SELECT w, o, offs.t, row_number() OVER (PARTITION BY w ORDER BY coalesce(n, 0), o) AS rn FROM offs LEFT JOIN seen ON seen.t = offs.t),
+rare AS (SELECT a.w, a.t AS ta, b.t AS tb, b.o - a.o AS ob, c.t AS tc, c.o - a.o AS oc FROM ranked a
+         LEFT JOIN ranked b ON b.w = a.w AND b.rn = 2 LEFT JOIN ranked c ON c.w = a.w AND c.rn = 3 WHERE a.rn = 1),
+near1 AS (SELECT doc_id, p, rare.* FROM rare JOIN pos ON pos.t = ta),
+near2 AS (SELECT DISTINCT near1.* FROM near1 LEFT JOIN pos b ON b.doc_id = near1.doc_id AND b.t = tb AND b.p BETWEEN near1.p + ob - {decontamination.NEAR_WORDS} AND near1.p + ob + {decontamination.NEAR_WORDS} WHERE tb IS NULL OR b.p IS NOT NULL),
+near3 AS (SELECT DISTINCT near2.doc_id, near2.w FROM near2 LEFT JOIN pos c ON c.doc_id = near2.doc_id AND c.t = tc AND c.p BETWEEN near2.p + oc - {decontamination.NEAR_WORDS} AND near2.p + oc + {decontamination.NEAR_WORDS} WHERE tc IS NULL OR c.p IS NOT NULL),
+nears AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM near3 JOIN bw ON bw.w = near3.w GROUP BY doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
-       sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
+       sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated, coalesce(nears.n, 0)::BIGINT AS n_near
+FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id LEFT JOIN nears ON nears.doc_id = d.doc_id
 """
 
 

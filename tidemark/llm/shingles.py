@@ -1,4 +1,4 @@
-"""Sets of five-word shingles as 64-bit numbers, many texts at a time."""
+"""Words and sets of five-word shingles as 64-bit numbers, many texts at a time."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ _PLACE = _rng.integers(0, 1 << 64, WIDTH, dtype=np.uint64) | np.uint64(1)
 _SHORT = _rng.integers(0, 1 << 64, WIDTH, dtype=np.uint64)
 
 #: Powers that are kept; a longer text has its own made.
-_KEPT = 1 << 21
+_KEPT = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -38,13 +38,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, ascending and end to end, and where each text's begin (with the end).
+def word_numbers(texts: list[bytes | None], table: bytes = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts as 64-bit numbers, the place of each text's first, and how many each has.
 
-    A text with fewer words than a shingle has its whole sequence as one; a
-    text without words, or null, has none.
+    ``table`` maps bytes; what it maps to a space (32) separates words. Null has none.
     """
-    joined = b" " + b" ".join((t or b"").translate(_LOWER) for t in texts) + b" "
+    joined = b" " + b" ".join((t or b"").translate(table) for t in texts) + b" "
     octets = np.frombuffer(joined, dtype=np.uint8)
     sizes = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
     begins = np.cumsum(sizes + 1) - sizes
@@ -53,8 +52,17 @@ def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     end = np.flatnonzero(in_word[:-1] & ~in_word[1:]) + 1
     total = np.cumsum(_BYTE[octets] * _power(_STEP, len(octets)), dtype=np.uint64)
     words = mix((total[end - 1] - total[start - 1]) * _power(_BACK, len(octets))[start])
-    first = np.searchsorted(start, begins)  # the first word of each text
-    count = np.diff(np.concatenate([first, [len(start)]]))
+    first = np.searchsorted(start, begins)
+    return words, first, np.diff(np.concatenate([first, [len(start)]]))
+
+
+def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, ascending and end to end, and where each text's begin (with the end).
+
+    A text with fewer words than a shingle has its whole sequence as one; a
+    text without words, or null, has none.
+    """
+    words, first, count = word_numbers(texts)
     n = max(len(words) - WIDTH + 1, 0)
     windows = np.zeros(n, dtype=np.uint64)
     for k in range(WIDTH if n else 0):
@@ -82,7 +90,7 @@ def many_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, dtype=np.uint64), *(sets for sets, _ in parts)]), np.cumsum(sizes)
 
 
-def by_bytes(texts: list[bytes | None], most: int = 1 << 20):
+def by_bytes(texts: list[bytes | None], most: int = 1 << 19):
     """Ranges of texts that hold about so many bytes each; one text may hold more."""
     at, held = 0, 0
     for i, t in enumerate(texts):
