@@ -271,6 +271,78 @@ def test_revealing_terms(spark):
     assert "zorblat" not in clean[0] and "<EMAIL>" in clean[0] and clean[66] == texts[66] and clean[30] == texts[30]
 
 
+def brute_terms(texts):
+    """(document, term start, term end, removed) by counting over all distinct texts."""
+    held, words_in = {}, {}
+    for t in set(texts):
+        words_in[t] = {w.lower() for w in re.findall(r"[^\W\d_]+", t)}
+        ents = set()
+        for a, k, b in brute_spans(t):
+            ents.add((k, t[a:b].lower() if k <= 1 else re.sub("[^0-9]", "", t[a:b])))
+        held[t] = ents
+    near = [t for t in held if held[t]]
+    named = {w.lower() for t in near for w in re.findall(r"[^\W\d_]+", t) if w[0].isupper() or w[0].lower() == w[0].upper()}
+    out = set()
+    for t in near:
+        covered = {i for a, _, b in brute_spans(t) for i in range(a, b)}
+        hidden = {}
+        for e in held[t]:
+            of = [x for x in near if e in held[x]]
+            prior = len(of) / len(held)
+            for w in words_in[t]:
+                if len(w) < pii.TERM_LETTERS and w not in named:
+                    continue
+                n = sum(w in x for x in words_in.values())
+                given = (sum(w in words_in[x] for x in of) + prior * pii.PSEUDO) / (n + pii.PSEUDO)
+                share = 1 + math.log2(given) / -math.log2(prior) if prior < 1 else 0
+                if share >= pii.GENERALISE and given >= pii.LEAST_GIVEN_TERM:
+                    hidden[w] = hidden.get(w, False) or share >= pii.REMOVE
+        for i, x in enumerate(texts):
+            if x == t:
+                masked = "".join("0" if k in covered else c for k, c in enumerate(t))
+                out |= {(i, m.start(), m.end(), hidden[m[0].lower()]) for m in re.finditer(r"[^\W\d_]+", masked) if m[0].lower() in hidden}
+    return out
+
+
+def test_terms_are_brute_force(spark):
+    rng = random.Random(12)
+    people = [("Kim", "kim@a.org"), ("Zorblat", "+1 499 555 6503"), ("Ona Petal", "10.2.3.4"), ("\u6f22\u5b57", "k.k@b.com")]
+    texts = []
+    for _ in range(150):
+        w = [rng.choice(["Plain", "words", "of", "any", "kind", "go", "here", "too"]) for _ in range(rng.randrange(4, 14))]
+        for name, value in rng.sample(people, rng.choice([0, 0, 0, 1, 1, 2])):
+            w.insert(rng.randrange(len(w) + 1), value)
+            if rng.random() < 0.9:
+                w.insert(rng.randrange(len(w) + 1), rng.choice([name, name.lower()]))
+        if rng.random() < 0.1:
+            w.append(f"unique{'abcdefghij'[rng.randrange(10)]}")
+        texts.append(" ".join(w))
+    texts += texts[:20]
+    docs = write_docs(spark, texts)
+    found = {(r.doc_id, s.start, s.end) for r in pii.find(docs).collect() for s in r.spans if pii.KINDS[s.kind] == "term"}
+    expected = brute_terms(texts)
+    assert found == {x[:3] for x in expected} and len(found) > 10
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted([(a, b, pii.PLACEHOLDERS[pii.KINDS[k]]) for a, k, b in brute_spans(t)] + [(a, b, "" if gone else pii.PLACEHOLDERS["name" if t[a].isupper() else "word"]) for k, a, b, gone in expected if k == i])
+        out, at = [], 0
+        for a, b, label in spans:
+            if a >= at:
+                out += [t[at:a], label]
+            at = max(at, b)
+        assert clean[i] == "".join(out) + t[at:], t
+
+
+def test_dense_texts_take_no_more_than_their_length(spark):
+    """Places and rewriting stay linear: a megabyte of matches, of failing matches, and of words to look up."""
+    rng = random.Random(13)
+    words = " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(20_000))
+    texts = ["1.1.1.1 " * 60_000, "a@" * 300_000, "1" * 500_000, "+1 " * 100_000, f"zed@example.com {words}"] + [f"Some text {k}x{chr(97 + k % 26)} here" for k in range(150)]
+    rows = {r.doc_id: r for r in pii.sanitise(write_docs(spark, texts)).where("doc_id < 5").collect()}
+    assert rows[0].text == "<IP> " * 60_000 and [rows[k].text == texts[k] for k in (1, 2, 3)] == [True] * 3
+    assert rows[4].text.startswith("<EMAIL> ") and len(rows[4].text) < len(texts[4])
+
+
 def test_a_term_far_from_its_entity_is_hidden(spark):
     rng = random.Random(3)
     texts = [f"Write to the zorblat at zed@example.com about {' '.join(babble(rng, 8))} soon" for _ in range(6)]

@@ -2,23 +2,27 @@
 
 Emails, IP addresses, card and phone numbers are found by fixed patterns. Each
 distinct value is a protected entity. All words of a text that holds an entity
-are its candidate terms; smoothed corpus counts then say how strongly a term reveals the entity: the
-pointwise mutual information of term and entity as a share of the entity's own
+are its candidate terms; smoothed corpus counts, all of distinct texts, then say
+how strongly a term reveals the entity: the pointwise mutual information of term and entity as a share of the entity's own
 information content, which is 1 where the term occurs with nothing else.
 Terms over a disclosure threshold are generalised, and over a higher one
 removed, in the documents that hold the entity.
 
 Everything is DataFrame expressions. Positions are in code points, ends
 exclusive. Quantifiers are possessive and runs are entered only at their start,
-so that no text makes matching slower than linear or overflows the stack.
+so that no text makes matching slower than linear or overflows the stack; places
+and rewritten texts are made in stretches (arrays.py), terms looked up in buckets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.arrays import chunks, piece, running_max, running_sum, where_made
+from tidemark.llm.common import Scratch, join_dealt, written
 
 #: Kinds in the order of ties. Each pattern finds what the contract's pattern finds.
 PATTERNS = {
@@ -40,8 +44,8 @@ GENERALISE = 0.9
 LEAST_GIVEN_TERM = 0.5
 REMOVE = 0.98
 
-#: What replaces a span in the text.
-PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
+#: What replaces a span in the text; a generalised term by how it is written.
+PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "name": "<NAME>", "word": "<WORD>"}
 
 
 def _digits(c: Column) -> Column:
@@ -72,19 +76,21 @@ def _checked(kind: str):
     return lambda span: _valid(kind, span["hit"])
 
 
-def _placed(hits: Column, gaps: Column, kind: str) -> Column:
-    """Matches with their places: the running sum of the stretches between and the matches."""
-    number = F.lit(KINDS.index(kind))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,hit:string>>)").alias("spans"))
+_NONE = "cast(array() as array<struct<start:int,kind:int,end:int,hit:string>>)"
 
-    def add(a, x):
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), number.alias("kind"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(one)).alias("spans"))
 
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
-    return F.aggregate(pairs, zero, add, lambda a: a["spans"])
+def _placed(rows: DataFrame, text: str, hits: dict[str, str], patterns: dict[str, str]) -> DataFrame:
+    """Turn columns of matches into columns of spans: places are running sums of the stretches between and the matches."""
+    for kind, name in hits.items():
+        gaps = F.slice(F.split(F.col(text), patterns[kind], -1), F.lit(1), F.size(name))
+        steps = F.zip_with(F.col(name), gaps, lambda h, g: F.length(h) + F.length(g))
+        rows = rows.withColumn(f"{name}_steps", F.when(F.size(name) > 0, steps).otherwise(F.expr("cast(array() as array<int>)")))
+    for kind, name in hits.items():
+        number = F.lit(KINDS.index(kind))
+        span = lambda h, e: F.struct((e - F.length(h)).alias("start"), number.alias("kind"), e.alias("end"), h.alias("hit"))  # noqa: E731, B023
+        spans = F.zip_with(F.col(name), running_sum(f"{name}_steps"), span)
+        rows = rows.withColumn(name, F.when(F.size(name) > 0, spans).otherwise(F.expr(_NONE)))
+    return rows.drop(*(f"{name}_steps" for name in hits.values()))
 
 
 def with_base_spans(rows: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
@@ -98,12 +104,22 @@ def with_base_spans(rows: DataFrame, text: str = "text", out: str = "base") -> D
         worth = F.col(text).rlike("[0-9]") if hint is None else F.contains(F.col(text), F.lit(hint))
         hits = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
         rows = rows.withColumn(f"_{kind}", F.when(worth, hits))
-    for kind, pattern in PATTERNS.items():
-        found = _placed(F.col(f"_{kind}"), F.split(F.col(text), pattern, -1), kind)
-        none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,hit:string>>)")
-        spans = F.when(F.size(f"_{kind}") > 0, F.filter(found, _checked(kind))).otherwise(none)
-        rows = rows.withColumn(f"_{kind}", spans)
-    return rows.select(*(F.col(f"`{c}`") for c in keep), F.array_sort(F.concat(*(F.col(f"_{k}") for k in PATTERNS))).alias(out))
+    rows = _placed(rows, text, {k: f"_{k}" for k in PATTERNS}, PATTERNS)
+    found = F.array_sort(F.concat(*(F.filter(f"_{k}", _checked(k)) for k in PATTERNS)))
+    return rows.select(*(F.col(f"`{c}`") for c in keep), found.alias(out))
+
+
+def _rewritten(rows: DataFrame, text: str, spans: str, out: str, label: Callable[[Column], Column], again: Callable[[Column, Column], Column]) -> DataFrame:
+    """Add the text with spans (by start) replaced: by ``label`` where a span begins outside all before it, else by ``again(span, reach)``."""
+    rows = rows.withColumn("_ends", F.transform(spans, lambda s: s["end"])).withColumn("_chunks", chunks(F.col(text)))
+    rows = rows.withColumn("_reach", F.concat(F.array(F.lit(0)), running_max("_ends")))
+
+    def one(s, reach):
+        return F.when(s["start"] >= reach, F.concat(piece("_chunks", reach, s["start"]), label(s))).otherwise(again(s, reach))
+
+    parts = F.zip_with(F.col(spans), F.slice("_reach", F.lit(1), F.size(spans)), one)
+    whole = F.concat(F.array_join(parts, ""), piece("_chunks", F.element_at("_reach", -1), F.length(text)))
+    return rows.withColumn(out, F.when(F.size(spans) > 0, whole).otherwise(F.col(text))).drop("_ends", "_chunks", "_reach")
 
 
 def _entity(span: Column) -> Column:
@@ -129,57 +145,76 @@ def _smoothed(joint: Column, n_term: Column, prior) -> Column:
     return (joint + prior * PSEUDO) / (n_term + PSEUDO)
 
 
-def revealing_terms(docs: DataFrame, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """Base spans of every document, and the terms to hide by document.
+def revealing_terms(docs: DataFrame, put: Scratch, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+    """Base spans of every document, and the terms to hide by document; both written by ``put``.
 
     The first table has doc_id, mark (a hash of the text) and base, a row for
     each row of ``docs``; the second doc_id, mark, text, base and terms, an array
-    of (term, removed), for each distinct document that has any. Term and entity meet anywhere in a text. All counts are of
-    distinct texts, so that copying changes no term's score.
+    of (term, removed), for each distinct document that has any. Term and entity
+    meet anywhere in a text. All counts are of distinct texts, so that copying
+    changes no term's score.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     based = with_base_spans(rows.withColumn("mark", F.xxhash64("text")))
     held = F.size("base") > 0
     entities = F.array_distinct(F.transform("base", _entity))
-    found, _ = written(based.select("doc_id", "mark", "base", F.when(held, F.col("text")).alias("text"), F.when(held, entities).alias("entities"), F.when(held, _terms(F.col("text"))).alias("terms"), F.when(held, _names(F.col("text"))).alias("names")))
-    base_only = found.select("doc_id", "mark", "base")
+    found = put(based.select("doc_id", "mark", "base", F.when(held, F.col("text")).alias("text"), F.when(held, entities).alias("entities"), F.when(held, _terms(F.col("text"))).alias("terms"), F.when(held, _names(F.col("text"))).alias("names")))
     holders = found.where(held)
-    texts, _ = written(holders.groupBy("mark").agg(*(F.any_value(c).alias(c) for c in ("entities", "terms", "names"))))
+    texts = put(holders.groupBy("mark").agg(*(F.any_value(c).alias(c) for c in ("entities", "terms", "names"))))
     # The texts of any entity that hold a term are among all that hold it: terms in too many others are out before they meet the entities.
-    around = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    around = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     names = texts.select(F.explode("names").alias("term")).distinct().withColumn("name", F.lit(True))
     around = around.join(names, "term", "left").where((F.length("term") >= TERM_LETTERS) | F.col("name")).drop("name")
     distinct = rows.groupBy(F.xxhash64("text").alias("mark")).agg(F.any_value("text").alias("text"))
     counts = distinct.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    candidates = around.join(counts, "term").where(_smoothed(F.col("n_near"), F.col("n_term"), 1.0) >= LEAST_GIVEN_TERM)
-    candidates, _ = written(candidates.select("term", "n_term"))
+    candidates = put(around.join(counts, "term").where(_smoothed(F.col("n"), F.col("n_term"), 1.0) >= LEAST_GIVEN_TERM).select("term", "n_term", "n"))
     # Entities of the same texts have the same counts, so they meet the terms as one group.
     of = texts.select("mark", F.explode("entities").alias("entity"))
-    same = of.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("mark")).alias("a"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("b"))
-    same = same.select("entity", "n_entity", F.xxhash64("n_entity", "a", "b").alias("group"))
-    groups = of.join(same, "entity").select("mark", "group", "n_entity").distinct()
-    pairs, _ = written(texts.select("mark", F.explode("terms").alias("term")).join(candidates, "term").join(groups, "mark"))
-    joint = pairs.groupBy("group", "term").agg(F.count(F.lit(1)).alias("joint"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    same = of.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("mark")).alias("a"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("b"))
+    same = put(same.select("entity", "n", F.xxhash64("n", "a", "b").alias("group")))
+    groups = join_dealt(of, same.withColumnRenamed("n", "n_entity"), ["entity"], same, "mark").select("mark", "group", "n_entity").distinct()
+    near = join_dealt(texts.select("mark", F.explode("terms").alias("term")), candidates.drop("n"), ["term"], candidates.select("term", "n"), "mark")
+    pairs = put(near.join(groups.hint("merge"), "mark"))
+    joint = put(pairs.groupBy("group", "term").agg(F.count(F.lit(1)).alias("n"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")))
     n_docs = max(found.agg(F.count_distinct("mark")).first()[0], 1)
     prior = F.col("n_entity") / F.lit(n_docs)
-    given = _smoothed(F.col("joint"), F.col("n_term"), prior)
+    given = _smoothed(F.col("n"), F.col("n_term"), prior)
     information = -F.log2(prior)
     share = F.when(information > 0, (F.log2(given) + information) / information).otherwise(0.0)
-    flagged = joint.where((share >= generalise) & (given >= LEAST_GIVEN_TERM)).select("group", "term", (share >= REMOVE).alias("removed"))
-    hidden = pairs.join(flagged, ["group", "term"]).groupBy("mark", "term").agg(F.max("removed").alias("removed"))
-    hidden, _ = written(hidden.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("term", "removed"))).alias("terms")))
+    flagged = joint.where((share >= generalise) & (given >= LEAST_GIVEN_TERM)).select("group", "term", "n", (share >= REMOVE).alias("removed"))
+    hidden = join_dealt(pairs, flagged.drop("n"), ["group", "term"], flagged.select("group", "term", "n"), "mark").groupBy("mark", "term").agg(F.max("removed").alias("removed"))
+    hidden = put(hidden.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("term", "removed"))).alias("terms")))
     hidden = holders.select("doc_id", "mark", "text", "base").dropDuplicates(["doc_id", "mark"]).join(hidden, "mark").select("doc_id", "mark", "text", "base", "terms")
-    return base_only, written(hidden)[0]
+    hidden = put(hidden)
+    put.end(found, hidden)
+    return found.select("doc_id", "mark", "base"), hidden
 
 
 def _with_term_spans(rows: DataFrame, base: str, out: str) -> DataFrame:
-    """Add spans of the terms to hide (column terms), outside the base spans."""
-    words = F.array_join(F.transform("terms", lambda t: t["term"]), "|")
-    pattern = F.when(F.size("terms") > 0, F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), words, F.lit(r")(?!\p{L})")))
-    rows = rows.withColumn("_hits", F.regexp_extract_all("text", pattern, F.lit(0)))
-    spans = F.filter(_placed(F.col("_hits"), F.split("text", pattern, -1), "term"), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,hit:string>>)")
-    return rows.withColumn(out, F.when(F.size("_hits") > 0, spans).otherwise(none)).drop("_hits")
+    """Add spans of the terms to hide (column terms), outside the base spans; a span says whether it is removed.
+
+    The text's words are placed once, with what the base spans cover blanked,
+    and each is looked up among a bucket of the terms.
+    """
+    keep = rows.columns
+    word = r"\p{L}+"
+    blank = lambda s, reach: F.repeat(F.lit("0"), F.greatest(s["end"] - F.greatest(s["start"], reach), F.lit(0)))
+    rows = rows.withColumn("_some", F.coalesce(F.size("terms"), F.lit(0)) > 0).withColumn("_text", F.when(F.col("_some"), F.col("text")))
+    rows = _rewritten(rows, "_text", base, "_text", lambda s: blank(s, F.lit(0)), blank)
+    rows = rows.withColumn("_words", F.when(F.col("_some"), F.regexp_extract_all("_text", F.lit(word), F.lit(0))))
+    rows = _placed(rows, "_text", {"term": "_words"}, {"term": word})
+    rows = rows.withColumn("_many", F.least(F.lit(256), F.greatest(F.lit(1), F.shiftright(F.size("terms"), 5))))
+    bucket = lambda t: F.pmod(F.xxhash64(t), F.col("_many")).cast("int")
+    rows = rows.withColumn("_terms", F.transform(F.sequence(F.lit(0), F.col("_many") - 1), lambda k: F.filter("terms", lambda t: bucket(t["term"]) == k)))
+
+    def looked_up(s):
+        term = F.filter(F.get("_terms", bucket(F.lower(s["hit"]))), lambda t: t["term"] == F.lower(s["hit"]))
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["hit"].alias("hit"), F.get(term, 0)["removed"].alias("removed"))
+
+    spans = F.filter(F.transform("_words", looked_up), lambda s: s["removed"].isNotNull())
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,hit:string,removed:boolean>>)")
+    # The buckets are asked for twice: an expression that is used once only would be put into the lambda, and made again for each word.
+    return rows.withColumn(out, F.when(F.col("_some") & (F.size("_terms") > 0), spans).otherwise(none)).select(*(F.col(f"`{c}`") for c in keep), out)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -190,8 +225,9 @@ def find(docs: DataFrame) -> DataFrame:
     document. Null and empty texts have no spans. Rows with a null or repeated
     id are judged each by its own text. An empty table gives an empty one.
     """
-    base, hidden = revealing_terms(docs)
-    again, _ = written(_with_term_spans(hidden, "base", "more").select("doc_id", "mark", "more"))
+    base, hidden = revealing_terms(docs, Scratch())
+    more = F.transform("more", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "hit"))))
+    again = written(_with_term_spans(hidden, "base", "more").select("doc_id", "mark", more.alias("more")))[0]
     out = _joined(base, again, "left")
     return out.select("doc_id", "base", F.when(F.size("more") > 0, F.array_sort(F.concat("base", "more"))).otherwise(F.col("base")).alias("spans"))
 
@@ -214,38 +250,30 @@ def count_of(spans: Column, kind: str) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with the texts rewritten; all columns stay, and n_chars, if there, is counted anew.
 
-    Entities and generalised terms become placeholders, removed terms go. Where
-    spans overlap, the first's placeholder stands for the whole stretch. A null
-    text stays null; texts without spans stay as they are.
+    Entities become placeholders of their kind, generalised terms become their
+    category (NAME where written with a capital, else WORD), removed terms go.
+    Where spans overlap, the first's placeholder stands for the whole stretch. A
+    null text stays null; texts without spans stay as they are.
     """
-    _, hidden = revealing_terms(docs)
+    _, hidden = revealing_terms(docs, Scratch())
     names = docs.columns
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     # Texts without an entity stay as they are, and meet no join.
     based = with_base_spans(inner)
-    plain = based.where(F.size("base") == 0).select("row.*")
-    inner = _with_term_spans(_joined(based.where(F.size("base") > 0), hidden.select("doc_id", "mark", "terms"), "left"), "base", "more")
-    removed = F.transform(F.filter("terms", lambda t: t["removed"]), lambda t: t["term"])
-    labels = F.array(*(F.lit(PLACEHOLDERS[k]) for k in KINDS))
-    label = lambda s: F.when(F.coalesce(F.array_contains(removed, F.lower(s["hit"])) & (s["kind"] == KINDS.index("term")), F.lit(False)), F.lit("")).otherwise(F.get(labels, s["kind"]))
-    text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-
-    def add(a, s):
-        fresh = F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), label(s))
-        parts = F.when(s["start"] >= a["at"], F.concat(a["parts"], fresh)).otherwise(a["parts"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), parts.alias("parts"))
-
-    rest = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text)))
-    spans = F.array_sort(F.concat("base", "more"))
-    inner = inner.withColumn("spans", spans)
-    inner = inner.withColumn("clean", F.when(F.size("spans") > 0, F.aggregate("spans", zero, add, rest)).otherwise(F.col("row")["text"].cast("string")))
+    plain = where_made(based, F.size("base") == 0).select("row.*")
+    inner = _with_term_spans(_joined(where_made(based, F.size("base") > 0), hidden.select("doc_id", "mark", "terms"), "left"), "base", "more")
+    same = F.transform("base", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "hit")), F.lit(False).alias("removed")))
+    inner = inner.withColumn("spans", F.array_sort(F.concat(same, "more")))
+    labels = F.array(*(F.lit(PLACEHOLDERS[k]) for k in PATTERNS))
+    category = lambda s: F.when(s["hit"].rlike(r"^[\p{Lu}\p{Lt}]"), PLACEHOLDERS["name"]).otherwise(PLACEHOLDERS["word"])
+    label = lambda s: F.when(s["removed"], "").when(s["kind"] == KINDS.index("term"), category(s)).otherwise(F.get(labels, s["kind"]))
+    inner = _rewritten(inner, "text", "spans", "clean", label, lambda s, reach: F.lit(""))
     out = []
     for c in names:
         if c == "text":
             out.append(F.col("clean").alias("text"))
         elif c == "n_chars":
-            out.append(F.when(F.size("spans") > 0, F.length("clean")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            out.append(F.length("clean").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             out.append(F.col("row").getField(c).alias(c))
     return inner.select(*out).union(plain)
