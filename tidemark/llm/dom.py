@@ -5,12 +5,16 @@ from __future__ import annotations
 import html as _html
 import re
 
-#: Markup: comments, raw-text elements, declarations, end tags, start tags with their attributes.
+#: A tag's attributes. Only a quote that follows an equals sign opens a value; one that is never closed opens none.
+_REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+"
+#: Markup: comments, raw-text elements, declarations, end tags, start tags with their attributes. What the page's end
+#: cuts is markup, too. Every alternative consumes what it reads, so that no page makes matching slower than linear.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg)(?=[\s/>]|\Z)(?:(?<=svg)(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>|[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z))"
-    r"|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg)(?=[\s/>]|\Z)" + r"(?P<within>" + _REST + r")(?:>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>" + _REST + r")(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_CLOSING = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.IGNORECASE) for t in "script style title textarea noscript template iframe svg".split()}
 _ATTRS = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-z]+")
@@ -55,56 +59,69 @@ def parse(page: str) -> Nodes:
     out = Nodes()
     tags, parents, depths, ends, segments = out.tag, out.parent, out.depth, out.end, out.segments
     stack = [(0, "#page")]  # (node, tag); plain elements share their parent's node
+    places: dict[str, list[int]] = {}  # where each tag stands in the stack
     at = 0
 
+    def last(names) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
+    def push(node: int, tag: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((node, tag))
+
     def pop_to(k: int) -> None:
         for node, tag in stack[k:]:
             if tag in BLOCKS:
                 segments.append((node, BREAK))
             if ends[node] == 0:
                 ends[node] = len(tags)
+            if node or tag != "#page":
+                places[tag].pop()
         del stack[k:]
 
     def text(raw: str) -> None:
         if raw:
             segments.append((stack[-1][0], _html.unescape(raw) if "&" in raw else raw))
 
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
+    while at < len(page):
+        m = _MARKUP.search(page, at)
+        if m is None:
+            text(page[at:])
+            break
+        text(page[at : m.start()])
         at = m.end()
+        raw = m["raw"]
+        if raw is not None:
+            # An svg may be empty by its own end; any other raw element runs to its end tag.
+            if raw.lower() != "svg" or not m["within"].endswith("/"):
+                closing = _CLOSING[raw.lower()].search(page, at)
+                at = closing.end() if closing else len(page)
+            continue
         tag = m["tag"]
         if tag is None:
             name = m["end"]
-            if name is not None:
-                name = name.lower()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == name:
-                        pop_to(k)
-                        break
+            k = last((name.lower(),)) if name is not None else 0
+            if k:
+                pop_to(k)
             continue
+        if at == len(page) and page[-1] != ">":
+            break  # the page's end cuts the tag
         tag = tag.lower()
         if tag == "br" or tag == "wbr":
             segments.append((stack[-1][0], " " if tag == "br" else ""))
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][1] in _P_STOPS:
-                    break
+            k = last(("p",))
+            if k > last(_P_STOPS):
+                pop_to(k)
         if tag in SIBLINGS:
             ended, stops = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] in stops:
+            while (k := last(ended)) > last(stops):
+                pop_to(k)
+                if tag != "tr":
                     break
-                if stack[k][1] in ended:
-                    pop_to(k)
-                    if tag != "tr" or not any(t in ended for _, t in stack):
-                        break
         if tag in PLAIN:
-            stack.append((stack[-1][0], tag))
+            push(stack[-1][0], tag)
             continue
         node = len(tags)
         attrs = m["attrs"]
@@ -119,13 +136,7 @@ def parse(page: str) -> Nodes:
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             ends[node] = node + 1
         else:
-            stack.append((node, tag))
-    if at < len(page):
-        rest = page[at:]
-        cut = rest.rfind("<")
-        if cut >= 0 and re.match(r"</?[a-zA-Z]", rest[cut:]):  # a tag that the page's end cuts
-            rest = rest[:cut]
-        text(rest)
+            push(node, tag)
     pop_to(0)
     if any(node == 0 and t and not t.isspace() for node, t in segments):
         body = len(tags)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import dom
+from tidemark.llm.common import frugal, parts
 
 TREES, DEPTH, BINS, RATE = 60, 4, 32, 0.25
 TRAINING_PAGES = 400
@@ -342,11 +343,9 @@ def main_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     trees = trees or model()
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                texts = extract(some.column(2).to_pylist(), trees)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for some in parts(batches, 2):
+            texts = extract(some.column(2).to_pylist(), trees)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import frugal, parts
+
 #: Sentences that may lie between two of a rule's sentences.
 GAP = 2
 
@@ -39,6 +41,18 @@ SENTENCES = {
     "gpl-short": "this work is licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-no-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "boost": "distributed under the boost software license version 1 0",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "lgpl-library": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "reserved": "all rights reserved",
     "public-domain": "this work is in the public domain",
@@ -50,6 +64,8 @@ VARIANTS = {
     "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-2.0-obtain",
     "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement": "mit-as-is",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-copy",
 }
 #: Sentences with a changing part, on the normalised form.
 PATTERNS = {
@@ -74,16 +90,27 @@ RULES = (
     Rule("Apache-2.0", ("apache-2.0-defined", "apache-2.0-may-not-use", "apache-2.0-obtain", "apache-2.0-as-is", "apache-2.0-see")),
     Rule("Apache-2.0", ("apache-2.0-defined", "apache-2.0-may-not-use")),
     Rule("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
+    Rule("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    Rule("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    Rule("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is")),
     Rule("BSD", ("bsd-redistribution",)),
+    Rule("ISC", ("isc-grant", "isc-as-is")),
+    Rule("ISC", ("isc-grant",)),
+    Rule("Unlicense", ("unlicense",)),
+    Rule("BSL-1.0", ("boost",)),
+    Rule("Zlib", ("zlib-grant",)),
+    Rule("EPL-2.0", ("epl-2.0",)),
     Rule("GPL-3.0-or-later", ("gpl-free", "gpl-no-warranty")),
     Rule("GPL-3.0-or-later", ("gpl-free",)),
     Rule("Apache-2.0", ("apache-2.0-short",)),
     Rule("MIT", ("mit-short",)),
     Rule("MIT", ("mit-licensed",)),
     Rule("GPL-3.0", ("gpl-short",)),
+    Rule("MPL-2.0", ("mpl-2.0", "mpl-copy")),
     Rule("MPL-2.0", ("mpl-2.0",)),
     Rule("public-domain", ("public-domain",)),
     Rule("{gpl-later}", ("gpl-later", "gpl-no-warranty")),
+    Rule("{gpl-later}", ("gpl-later", "lgpl-library")),
     Rule("{gpl-later}", ("gpl-later",)),
     Rule("{gpl}", ("gpl",)),
     Rule("{cc}", ("cc",)),
@@ -93,6 +120,11 @@ RULES = (
     Rule("all-rights-reserved", ("reserved",)),
 )
 
+#: The rules by their first sentence, in order.
+_RULES_FROM: dict[str, list[Rule]] = {}
+for _rule in RULES:
+    _RULES_FROM.setdefault(_rule.sentences[0], []).append(_rule)
+
 _BY_TEXT = {text: name for name, text in SENTENCES.items()} | VARIANTS
 _PATTERNS = {name: re.compile(p) for name, p in PATTERNS.items()}
 #: Beginnings of known sentences, word by word.
@@ -189,17 +221,9 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
             at += 1
     out, used = [], set()
     for at in range(len(known)):
-        if at in used:
-            continue
-        for rule in RULES:
-            taken, last = [], None
-            for want in rule.sentences:
-                nxt = next((k for k in range(at if last is None else last + 1, len(known)) if k not in used and known[k][1] == want and (last is not None or k == at) and (last is None or known[k][0] - known[last][0] <= GAP + 1)), None)
-                if nxt is None:
-                    break
-                taken.append(nxt)
-                last = nxt
-            if len(taken) == len(rule.sentences):
+        for rule in _RULES_FROM.get(known[at][1], ()) if at not in used else ():
+            taken = _sequence(rule, known, at, used)
+            if taken:
                 named = next((known[k][2] for k in taken if known[k][2]), "")
                 out.append((named if rule.licence.startswith("{") else rule.licence, known[taken[0]][3], known[taken[-1]][4]))
                 used.update(taken)
@@ -207,6 +231,22 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
+def _sequence(rule: Rule, known: list[tuple], at: int, used: set[int]) -> list[int] | None:
+    """The known sentences, from a place on, that match a rule; each is looked for among the GAP next sentences alone."""
+    taken = [at]
+    for want in rule.sentences[1:]:
+        last = taken[-1]
+        for k in range(last + 1, min(last + GAP + 2, len(known))):
+            if known[k][0] - known[last][0] > GAP + 1:
+                return None
+            if k not in used and known[k][1] == want:
+                taken.append(k)
+                break
+        else:
+            return None
+    return taken
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and matches (licence, start, end) of every row of ``docs``.
 
@@ -216,9 +256,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     def run(batches):
         kind = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in parts(batches, 1):
             found = [[{"licence": n, "start": a, "end": b} for n, a, b in scan_text(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "matches"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, matches array<struct<licence: string, start: long, end: long>>")
+    return rows.mapInArrow(frugal(run), "doc_id long, matches array<struct<licence: string, start: long, end: long>>")

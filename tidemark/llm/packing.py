@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import frugal, parts, written
 
 CAPACITY = 4096
 END = 1
@@ -42,7 +42,7 @@ SHARE = 0.5
 #: How strongly being covered ahead of the others lowers a length's weight.
 RATE = 0.3
 #: Words whose ids a Python worker remembers, twice at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 # Tokens
@@ -148,23 +148,21 @@ def _piecer(definition, capacity: int, end: int, with_ids: bool):
             gc.enable()
 
     def cut(batches, part, seen, tokens):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                owner, piece, start, length, crc, k, ids = [], [], [], [], [], [], []
-                for row, found in enumerate(tokens.encode([t or "" for t in some.column(1).to_pylist()])):
-                    found += tail
-                    total = len(found) // 4
-                    for i, begin in enumerate(range(0, total, capacity)):
-                        one = found[4 * begin : 4 * (begin + capacity)]
-                        n = len(one) // 4
-                        owner.append(row), piece.append(i), start.append(begin), length.append(n), crc.append(zlib.crc32(one)), k.append(seen[n])
-                        seen[n] += 1
-                        if with_ids:
-                            ids.append(one)
-                columns = [some.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc)), pa.array([part] * len(owner), pa.int32()), pa.array(k, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "k"]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        for some in parts(batches, 1):
+            owner, piece, start, length, crc, k, ids = [], [], [], [], [], [], []
+            for row, found in enumerate(tokens.encode([t or "" for t in some.column(1).to_pylist()])):
+                found += tail
+                total = len(found) // 4
+                for i, begin in enumerate(range(0, total, capacity)):
+                    one = found[4 * begin : 4 * (begin + capacity)]
+                    n = len(one) // 4
+                    owner.append(row), piece.append(i), start.append(begin), length.append(n), crc.append(zlib.crc32(one)), k.append(seen[n])
+                    seen[n] += 1
+                    if with_ids:
+                        ids.append(one)
+            columns = [some.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc)), pa.array([part] * len(owner), pa.int32()), pa.array(k, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "k"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
     return run
 
@@ -186,7 +184,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         definition = f.read()  # a vocabulary file: its size doesn't follow the data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long" + ", ids binary" * with_ids
-    return written(rows.mapInArrow(_piecer(docs.sparkSession.sparkContext.broadcast(definition), capacity, end, with_ids), schema))[0]
+    return written(rows.mapInArrow(frugal(_piecer(docs.sparkSession.sparkContext.broadcast(definition), capacity, end, with_ids)), schema))[0]
 
 
 # The plan, on the driver

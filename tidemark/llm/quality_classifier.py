@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import frugal, parts, written
 from tidemark.llm.quality_rules import _repeat_and_adjacent
 
 #: Shrinkage towards the pooled covariance, and towards its diagonal.
@@ -51,7 +51,7 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 def _feature_batches(batches):
-    for batch in batches:
+    for batch in parts(batches, 1):
         found = np.array([features(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in found.T)], names=["doc_id", *FEATURES])
 
@@ -59,7 +59,7 @@ def _feature_batches(batches):
 def featured(docs: DataFrame) -> DataFrame:
     """doc_id and the features of every row of ``docs``, written to the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return written(rows.mapInArrow(_feature_batches, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)))[0]
+    return written(rows.mapInArrow(frugal(_feature_batches), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)))[0]
 
 
 @dataclass
@@ -102,10 +102,17 @@ class Constant:
 
 
 def fit(rows: DataFrame, label: str = "quality") -> Discriminant | Constant:
-    """Fit on rows with the features and a label of 0 or 1; other labels are left out."""
+    """Fit on rows with the features and a label of 0 or 1; other labels are left out.
+
+    Sums are taken about the features' means over all labelled rows, so that
+    covariances keep their digits at any number of rows.
+    """
+    rows = rows.where(F.col(label).isin(0, 1))
+    middle = np.array([x or 0.0 for x in rows.agg(*(F.avg(f) for f in FEATURES)).first()])
+    off = [F.col(f) - F.lit(float(m)) for f, m in zip(FEATURES, middle)]
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in pairs]
-    found = {r[label]: r for r in rows.where(F.col(label).isin(0, 1)).groupBy(label).agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(off)] + [F.sum(off[i] * off[j]).alias(f"p{i}_{j}") for i, j in pairs]
+    found = {r[label]: r for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
     if len(found) < 2:
         n = {k: r["n"] for k, r in found.items()}
         return Constant((n.get(1, 0) + 1) / (sum(n.values()) + 2))
@@ -115,7 +122,9 @@ def fit(rows: DataFrame, label: str = "quality") -> Discriminant | Constant:
         total[k] = [r[f"s{i}"] for i in range(d)]
         for i, j in pairs:
             products[k, i, j] = products[k, j, i] = r[f"p{i}_{j}"]
-    return Discriminant.of([found[0]["n"], found[1]["n"]], total, products)
+    model = Discriminant.of([found[0]["n"], found[1]["n"]], total, products)
+    model.means = model.means + middle
+    return model
 
 
 def held_out():

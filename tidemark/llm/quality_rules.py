@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import frugal, parts
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", dtype=np.uint8)
 
@@ -102,7 +104,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def _measure_batches(batches):
-    for batch in batches:
+    for batch in parts(batches, 1):
         rows = [measure(t) for t in batch.column(1).to_pylist()]
         columns = np.array(rows, dtype=np.int64).reshape(len(rows), len(MEASURES)).T
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], names=["doc_id", *MEASURES])
@@ -123,7 +125,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    return rows.mapInArrow(_measure_batches, schema).withColumn("failed", failure_bits(rules))
+    return rows.mapInArrow(frugal(_measure_batches), schema).withColumn("failed", failure_bits(rules))
 
 
 def passes(failed: Column, policy: str) -> Column:
