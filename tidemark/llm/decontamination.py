@@ -340,7 +340,8 @@ def keep(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     put = Scratch()
     index = build_index(docs, put, carry=True)
     hit = put(search_index(index, items, put, window).where("n_hit > 0").select("uid"))
-    put.end(index, hit)
     rows = index.join(hit, "uid", "left_anti")
     carried = {f.name for f in index.schema["row"].dataType}
-    return rows.select(*(F.col("row").getField(c).alias(c) if c in carried else F.col("text").cast("string").alias(c) for c in docs.columns))
+    out = put(rows.select(*(F.col("row").getField(c).alias(c) if c in carried else F.col("text").cast("string").alias(c) for c in docs.columns)))
+    put.end(out)
+    return out

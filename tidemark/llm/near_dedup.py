@@ -10,7 +10,7 @@ bucket's pivot; components of the confirmed links then close all buckets whose
 classes lie in one component. What is still open is compared in blocks of
 bounded size: first on 64-byte sketches, which leave the classes that have a
 possible partner in another component, then on full sets, which give the links.
-Blocks of the pivot's own component don't meet each other. Links are confirmed
+Blocks of a bucket's largest component don't meet each other. Links are confirmed
 on full sets throughout. Joins on buckets, pivots, components and digests deal
 a hot key's rows to several parts.
 """
@@ -213,8 +213,8 @@ def _linked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def _dealt(rows: DataFrame, put) -> DataFrame:
     """Each bucket's classes dealt to blocks, once for each pair of blocks that must meet; a group has two blocks at most.
 
-    Classes of the pivot's component are at home. Home blocks need meet no
-    other home block, so the work is the classes away from home times all.
+    Home blocks, which hold one component, need not meet each other, so the
+    work is the classes away from home times all.
     """
     def blocks(which):
         return F.greatest(F.ceil(F.count(F.when(which, 1)) / BLOCK), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
@@ -244,12 +244,15 @@ def _with_roots(rows: DataFrame, links: DataFrame, put) -> DataFrame:
 
 
 def _still_open(members: DataFrame, links: DataFrame, put) -> DataFrame | None:
-    """The classes of buckets that hold more than one component, with whether each is at home; None if there are none."""
-    rows = put(_with_roots(members, links, put))
-    by_root = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("cls") == F.col("pivot")).alias("home"))
-    found = by_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_roots"), F.max(F.when(F.col("home"), F.col("root"))).alias("home")).where("n_roots > 1")
+    """The classes of buckets that hold more than one component beside the pivot, which has met all; None if there are none.
+
+    The component with most classes of a bucket is at home there.
+    """
+    rows = put(_with_roots(members.where("cls <> pivot").drop("pivot"), links, put))
+    by_root = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    found = by_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_roots"), F.max_by("root", "n").alias("home")).where("n_roots > 1")
     found = put(found.drop("n_roots"))
-    rows = put(join_dealt(rows.drop("pivot"), found.select("bucket", F.col("home").alias("_home")), ["bucket"], found.select("bucket", "n"), "cls").withColumn("home", F.col("root") == F.col("_home")).drop("_home"))
+    rows = put(join_dealt(rows, found.select("bucket", F.col("home").alias("_home")), ["bucket"], found.select("bucket", "n"), "cls").withColumn("home", F.col("root") == F.col("_home")).drop("_home"))
     return None if rows.isEmpty() else rows
 
 
@@ -311,8 +314,11 @@ def keep(docs: DataFrame) -> DataFrame:
     stay, repeated ones too. Rows are told apart by their place, not by their
     id, so that a row never goes because another one of its id does.
     """
-    signed, judged = _judged(docs, Scratch(), True)
+    put = Scratch()
+    signed, judged = _judged(docs, put, True)
     dropped = judged.where("uid <> first").select("uid")
     rows = signed.join(dropped, "uid", "left_anti")
     carried = {f.name for f in signed.schema["row"].dataType}
-    return rows.select(*(F.col("row").getField(c).alias(c) if c in carried else F.col("text").cast("string").alias(c) for c in docs.columns))
+    out = put(rows.select(*(F.col("row").getField(c).alias(c) if c in carried else F.col("text").cast("string").alias(c) for c in docs.columns)))
+    put.end(out)
+    return out

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import chunks, piece, running_max, running_sum, where_made
+from tidemark.llm.arrays import chunks, piece, running_max, running_sum
 from tidemark.llm.common import Scratch, join_dealt, written
 
 #: Kinds in the order of ties. Each pattern finds what the contract's pattern finds.
@@ -145,20 +145,22 @@ def _smoothed(joint: Column, n_term: Column, prior) -> Column:
     return (joint + prior * PSEUDO) / (n_term + PSEUDO)
 
 
-def revealing_terms(docs: DataFrame, put: Scratch, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+def revealing_terms(docs: DataFrame, put: Scratch, generalise: float = GENERALISE, carry: bool = False) -> tuple[DataFrame, DataFrame]:
     """Base spans of every document, and the terms to hide by document; both written by ``put``.
 
     The first table has doc_id, mark (a hash of the text) and base, a row for
-    each row of ``docs``; the second doc_id, mark, text, base and terms, an array
+    each row of ``docs``, with all its columns as a struct ``row`` if they are
+    to be carried; the second doc_id, mark, text, base and terms, an array
     of (term, removed), for each distinct document that has any. Term and entity
     meet anywhere in a text. All counts are of distinct texts, so that copying
     changes no term's score.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *whole)
     based = with_base_spans(rows.withColumn("mark", F.xxhash64("text")))
     held = F.size("base") > 0
     entities = F.array_distinct(F.transform("base", _entity))
-    found = put(based.select("doc_id", "mark", "base", F.when(held, F.col("text")).alias("text"), F.when(held, entities).alias("entities"), F.when(held, _terms(F.col("text"))).alias("terms"), F.when(held, _names(F.col("text"))).alias("names")))
+    found = put(based.select("doc_id", "mark", "base", F.when(held, F.col("text")).alias("text"), F.when(held, entities).alias("entities"), F.when(held, _terms(F.col("text"))).alias("terms"), F.when(held, _names(F.col("text"))).alias("names"), *(["row"] if carry else [])))
     holders = found.where(held)
     texts = put(holders.groupBy("mark").agg(*(F.any_value(c).alias(c) for c in ("entities", "terms", "names"))))
     # The texts of any entity that hold a term are among all that hold it: terms in too many others are out before they meet the entities.
@@ -187,7 +189,7 @@ def revealing_terms(docs: DataFrame, put: Scratch, generalise: float = GENERALIS
     hidden = holders.select("doc_id", "mark", "text", "base").dropDuplicates(["doc_id", "mark"]).join(hidden, "mark").select("doc_id", "mark", "text", "base", "terms")
     hidden = put(hidden)
     put.end(found, hidden)
-    return found.select("doc_id", "mark", "base"), hidden
+    return found.select("doc_id", "mark", "base", *(["row"] if carry else [])), hidden
 
 
 def _with_term_spans(rows: DataFrame, base: str, out: str) -> DataFrame:
@@ -205,15 +207,18 @@ def _with_term_spans(rows: DataFrame, base: str, out: str) -> DataFrame:
     rows = _placed(rows, "_text", {"term": "_words"}, {"term": word})
     rows = rows.withColumn("_many", F.least(F.lit(256), F.greatest(F.lit(1), F.shiftright(F.size("terms"), 5))))
     bucket = lambda t: F.pmod(F.xxhash64(t), F.col("_many")).cast("int")
-    rows = rows.withColumn("_terms", F.transform(F.sequence(F.lit(0), F.col("_many") - 1), lambda k: F.filter("terms", lambda t: bucket(t["term"]) == k)))
+    rows = rows.withColumn("_dealt", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["removed"].alias("removed"), bucket(t["term"]).alias("k"))))
+    buckets = F.transform(F.sequence(F.lit(0), F.col("_many") - 1), lambda k: F.filter("_dealt", lambda t: t["k"] == k))
+    # Expressions that are used once only would be put into the lambda that uses them, and made again for each value.
+    rows = rows.withColumn("_terms", F.when(F.size("_dealt") > 0, buckets))
+    rows = rows.withColumn("_words", F.transform("_words", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "hit")), F.lower(s["hit"]).alias("low"))))
 
     def looked_up(s):
-        term = F.filter(F.get("_terms", bucket(F.lower(s["hit"]))), lambda t: t["term"] == F.lower(s["hit"]))
+        term = F.filter(F.get("_terms", bucket(s["low"])), lambda t: t["term"] == s["low"])
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["hit"].alias("hit"), F.get(term, 0)["removed"].alias("removed"))
 
     spans = F.filter(F.transform("_words", looked_up), lambda s: s["removed"].isNotNull())
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,hit:string,removed:boolean>>)")
-    # The buckets are asked for twice: an expression that is used once only would be put into the lambda, and made again for each word.
     return rows.withColumn(out, F.when(F.col("_some") & (F.size("_terms") > 0), spans).otherwise(none)).select(*(F.col(f"`{c}`") for c in keep), out)
 
 
@@ -255,13 +260,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Where spans overlap, the first's placeholder stands for the whole stretch. A
     null text stays null; texts without spans stay as they are.
     """
-    _, hidden = revealing_terms(docs, Scratch())
+    put = Scratch()
+    found, hidden = revealing_terms(docs, put, carry=True)
     names = docs.columns
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     # Texts without an entity stay as they are, and meet no join.
-    based = with_base_spans(inner)
-    plain = where_made(based, F.size("base") == 0).select("row.*")
-    inner = _with_term_spans(_joined(where_made(based, F.size("base") > 0), hidden.select("doc_id", "mark", "terms"), "left"), "base", "more")
+    plain = found.where(F.size("base") == 0).select("row.*")
+    held = found.where(F.size("base") > 0).withColumn("text", F.coalesce(F.col("row")["text"].cast("string"), F.lit("")))
+    inner = _with_term_spans(_joined(held, hidden.select("doc_id", "mark", "terms"), "left"), "base", "more")
     same = F.transform("base", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "hit")), F.lit(False).alias("removed")))
     inner = inner.withColumn("spans", F.array_sort(F.concat(same, "more")))
     labels = F.array(*(F.lit(PLACEHOLDERS[k]) for k in PATTERNS))
@@ -276,4 +281,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out.append(F.length("clean").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             out.append(F.col("row").getField(c).alias(c))
-    return inner.select(*out).union(plain)
+    out = put(inner.select(*out).union(plain))
+    put.end(out)
+    return out
