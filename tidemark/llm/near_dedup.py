@@ -34,7 +34,7 @@ PERMUTATIONS = 64
 #: Bands of four values: a pair at the threshold meets in none of them with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS = 32
 #: Classes, and about so many shingles, of a block when open buckets are compared.
-BLOCK = 1000
+BLOCK = 400
 BLOCK_SHINGLES = 250_000
 #: Sketches of 128 four-bit values: a linked pair agrees on 98 in the mean, and on fewer than these with probability below 1e-9.
 LEAST_AGREEING = 68

@@ -44,6 +44,9 @@ GENERALISE = 0.9
 LEAST_GIVEN_TERM = 0.5
 REMOVE = 0.98
 
+#: Terms of a text that one pattern looks for.
+FEW_TERMS = 100
+
 #: What replaces a span in the text; a generalised term by how it is written.
 PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "name": "<NAME>", "word": "<WORD>"}
 
@@ -79,7 +82,7 @@ def _checked(kind: str):
 _NONE = "cast(array() as array<struct<start:int,kind:int,end:int,hit:string>>)"
 
 
-def _placed(rows: DataFrame, text: str, hits: dict[str, str], patterns: dict[str, str]) -> DataFrame:
+def _placed(rows: DataFrame, text: str, hits: dict[str, str], patterns: dict[str, str | Column]) -> DataFrame:
     """Turn columns of matches into columns of spans: places are running sums of the stretches between and the matches."""
     for kind, name in hits.items():
         gaps = F.slice(F.split(F.col(text), patterns[kind], -1), F.lit(1), F.size(name))
@@ -195,16 +198,18 @@ def revealing_terms(docs: DataFrame, put: Scratch, generalise: float = GENERALIS
 def _with_term_spans(rows: DataFrame, base: str, out: str) -> DataFrame:
     """Add spans of the terms to hide (column terms), outside the base spans; a span says whether it is removed.
 
-    The text's words are placed once, with what the base spans cover blanked,
-    and each is looked up among a bucket of the terms.
+    What the base spans cover is blanked. Few terms are looked for by one
+    pattern; else all words are placed. What is placed is looked up among a
+    bucket of the terms.
     """
     keep = rows.columns
-    word = r"\p{L}+"
+    few = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
+    rows = rows.withColumn("_pattern", F.when(F.size("terms") > FEW_TERMS, r"\p{L}+").otherwise(few))
     blank = lambda s, reach: F.repeat(F.lit("0"), F.greatest(s["end"] - F.greatest(s["start"], reach), F.lit(0)))
     rows = rows.withColumn("_some", F.coalesce(F.size("terms"), F.lit(0)) > 0).withColumn("_text", F.when(F.col("_some"), F.col("text")))
     rows = _rewritten(rows, "_text", base, "_text", lambda s: blank(s, F.lit(0)), blank)
-    rows = rows.withColumn("_words", F.when(F.col("_some"), F.regexp_extract_all("_text", F.lit(word), F.lit(0))))
-    rows = _placed(rows, "_text", {"term": "_words"}, {"term": word})
+    rows = rows.withColumn("_words", F.when(F.col("_some"), F.regexp_extract_all("_text", "_pattern", F.lit(0))))
+    rows = _placed(rows, "_text", {"term": "_words"}, {"term": F.col("_pattern")})
     rows = rows.withColumn("_many", F.least(F.lit(256), F.greatest(F.lit(1), F.shiftright(F.size("terms"), 5))))
     bucket = lambda t: F.pmod(F.xxhash64(t), F.col("_many")).cast("int")
     rows = rows.withColumn("_dealt", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["removed"].alias("removed"), bucket(t["term"]).alias("k"))))
