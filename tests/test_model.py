@@ -89,10 +89,10 @@ def test_null_mask():
 
 def test_tablet():
     t = Tablet("d", [Measurement("i", DataType.INT32), Measurement("s", DataType.TEXT)], capacity=3)
-    t.add_time(0, 10), t.add_time(1, 20), t.add_time(0, 11)
+    t.add_time(0, 11), t.add_time(1, 20)
     t.set(0, 0, 5), t.set(1, 1, "x")
     assert t.rows() == [(11, 5, None), (20, None, b"x")] and t.is_null(0, 1)
-    for bad in (lambda: t.add_time(3, 0), lambda: t.set(0, 2, 1), lambda: t.add_time(9, 0)):
+    for bad in (lambda: t.add_time(0, 10), lambda: t.add_time(3, 0), lambda: t.set(0, 2, 1), lambda: t.add_time(9, 0)):
         with pytest.raises(InvalidArgError):
             bad()
     for bad in ("x", True, 1 << 40, 1.5):

@@ -9,8 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.model import parse_path
-
 #: The seeds of the device filter's hashes.
 BLOOM_SEEDS = (5, 7, 11, 13, 31, 37, 61, 73)
 
@@ -22,10 +20,11 @@ def split_path(path: Column) -> Column:
     return F.when(path == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(path, "[.]"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_quoted_path(paths: pd.Series) -> pd.Series:
-    """Segments of a path that may quote dots with backticks; null for null."""
-    return paths.map(lambda p: None if p is None else parse_path(p))
+def split_quoted_path(path: Column) -> Column:
+    """Segments of a path that may quote dots with backticks; null for null, an error for an odd backtick."""
+    parts = F.transform(F.split(path, r"[.](?=(?:[^`]*`[^`]*`)*+[^`]*+\z)", -1), lambda s: F.replace(s, F.lit("`"), F.lit("")))
+    odd = F.length(F.regexp_replace(path, "[^`]", "")) % 2 == 1
+    return F.when(odd, F.raise_error(F.concat(F.lit("odd backtick in path: "), path))).when(path == "", F.expr("cast(array() as array<string>)")).otherwise(parts)
 
 
 def display_path(segments: Column) -> Column:
@@ -63,29 +62,24 @@ def varint_length(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(bit_width(n) / 7).cast("int"))
 
 
-@F.pandas_udf(T.BinaryType())
-def varint(numbers: pd.Series) -> pd.Series:
-    """An unsigned 64-bit number in groups of seven bits, lowest first."""
-    def one(n):
-        if n is None or n != n:
-            return None
-        n, out = int(n) & 0xFFFFFFFFFFFFFFFF, bytearray()
-        while n >= 0x80:
-            out.append(n & 0x7F | 0x80)
-            n >>= 7
-        return bytes([*out, n])
+def varint(n: Column) -> Column:
+    """An unsigned 64-bit number in groups of seven bits, lowest first; every byte but the last has its top bit set."""
+    size = varint_length(n)
+
+    def octet(k):
+        part = F.call_function("shiftrightunsigned", n, 7 * k).bitwiseAND(F.lit(127).cast("long"))
+        return F.lpad(F.hex(part + F.when(k < size - 1, 128).otherwise(0)), 2, "0")
 
-    return numbers.astype(object).map(one)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), octet), ""))
 
 
-@F.pandas_udf(T.LongType())
-def unvarint(octets: pd.Series) -> pd.Series:
+def unvarint(octets: Column) -> Column:
     """The number that ``varint`` was given, as signed 64 bits."""
-    def one(b):
-        n = sum((x & 0x7F) << (7 * i) for i, x in enumerate(b)) & 0xFFFFFFFFFFFFFFFF
-        return n - (1 << 64) if n >> 63 else n
+    def add(total, k):
+        part = F.conv(F.hex(F.substring(octets, k + 1, F.lit(1))), 16, 10).cast("long").bitwiseAND(F.lit(127).cast("long"))
+        return total.bitwiseOR(F.call_function("shiftleft", part, 7 * k))
 
-    return octets.map(one)
+    return F.aggregate(F.sequence(F.lit(0), F.octet_length(octets) - 1), F.lit(0).cast("long"), add)
 
 
 # The device filter

@@ -153,7 +153,7 @@ LEGAL = {
 
 def check_encoding(kind: DataType, encoding: Encoding) -> None:
     if encoding not in LEGAL[kind]:
-        raise UnsupportedError(f"{kind.name} does not support {encoding.name}")
+        raise UnsupportedError(f"no {encoding.name} for values of type {kind.name}")
 
 
 @dataclass
@@ -187,20 +187,17 @@ class Config:
 
 def parse_path(path: str) -> list[str]:
     """Segments of a dotted path. Backticks quote dots; empty segments stay; an empty path has none."""
-    if path == "":
+    if not path:
         return []
-    out, held, quoted = [], [], False
-    for c in path:
-        if c == "`":
-            quoted = not quoted
-        elif c == "." and not quoted:
-            out.append("".join(held))
-            held = []
-        else:
-            held.append(c)
-    if quoted:
-        raise InvalidArgError(f"unclosed backtick in path: {path}")
-    return [*out, "".join(held)]
+    stretches = path.split("`")  # every second one is quoted
+    if len(stretches) % 2 == 0:
+        raise InvalidArgError(f"path {path!r} has an odd number of backticks")
+    out = [""]
+    for k, stretch in enumerate(stretches):
+        first, *rest = [stretch] if k % 2 else stretch.split(".")
+        out[-1] += first
+        out += rest
+    return out
 
 
 def format_path(segments: list[str]) -> str:
@@ -374,13 +371,10 @@ class Tablet:
         self._cells: list[dict[int, object]] = [{} for _ in columns]
 
     def add_time(self, row: int, time: int) -> None:
-        """Rows come in sequence; a row that is there may get another time."""
-        if not 0 <= row < self.capacity or row > len(self.times):
-            raise InvalidArgError(f"row {row} of {len(self.times)}, capacity {self.capacity}")
-        if row == len(self.times):
-            self.times.append(time)
-        else:
-            self.times[row] = time
+        """Rows come in sequence, each once."""
+        if row != len(self.times) or row >= self.capacity:
+            raise InvalidArgError(f"row {row} after {len(self.times)} rows, capacity {self.capacity}")
+        self.times.append(time)
 
     def set(self, row: int, column: int, value) -> None:
         if not 0 <= column < len(self.columns) or not 0 <= row < self.capacity:

@@ -61,16 +61,37 @@ def merge(legs: list[DataFrame], measurements: list[str], flt: Filter | None = N
     """
     if not legs or len(legs) != len(measurements):
         raise InvalidArgError("as many series as measurements are needed, and one at least")
-    names = output_names(measurements)
-    below = flt.time_only(F.col("time")) if flt is not None else None
     parts = []
     for k, leg in enumerate(legs):
-        leg = leg.where("value is not null")
-        leg = leg if below is None else leg.where(below)
         own = [(F.col("value") if j == k else F.lit(None).cast(legs[j].schema["value"].dataType)).alias(f"v{j}") for j in range(len(legs))]
-        parts.append(leg.select("device", "time", "seq", F.lit(k).alias("leg"), *own))
-    rows = reduce(DataFrame.unionByName, parts)
-    rows = rows.repartition("device", "time") if len(parts) > 1 else rows
+        parts.append(leg.where("value is not null").select("device", "time", "seq", F.lit(k).alias("leg"), *own))
+    return _merged(reduce(DataFrame.unionByName, parts), output_names(measurements), flt)
+
+
+def merge_long(tables: list[tuple[DataFrame, list[str]]], measurements: list[str], flt: Filter | None = None) -> DataFrame:
+    """``merge`` of series that long tables hold: (device, measurement, time, seq, value) each, with the measurements to take from it.
+
+    Each table is scanned once, however many of its series are merged; a
+    measurement that is asked for twice is one leg, and its column is repeated.
+    """
+    wanted = list(dict.fromkeys(measurements))
+    if not wanted:
+        raise InvalidArgError("no measurements")
+    kinds = {m: t.schema["value"].dataType for t, names in tables for m in names}
+    parts = []
+    for table, names in tables:
+        leg = F.element_at(F.create_map(*(F.lit(x) for m in names for x in (m, wanted.index(m)))), F.col("measurement"))
+        own = [(F.when(F.col("measurement") == m, F.col("value")) if m in names else F.lit(None).cast(kinds[m])).alias(f"v{k}") for k, m in enumerate(wanted)]
+        parts.append(table.where(F.col("measurement").isin(*names) & F.col("value").isNotNull()).select("device", "time", "seq", leg.alias("leg"), *own))
+    merged = _merged(reduce(DataFrame.unionByName, parts), output_names(wanted), flt)
+    columns = [F.col(f"`{m}`").alias(n) for m, n in zip(measurements, output_names(measurements))]
+    return merged.select("device", "time", "occ", *columns)
+
+
+def _merged(rows: DataFrame, names: list[str], flt: Filter | None) -> DataFrame:
+    below = flt.time_only(F.col("time")) if flt is not None else None
+    rows = rows if below is None else rows.where(below)
+    rows = rows.repartition("device", "time") if len(names) > 1 else rows
     occ = F.row_number().over(Window.partitionBy("device", "time", "leg").orderBy("seq"))
     # A leg has one row for each (device, time, occ), and no nulls: the first value that is not null is that row's.
     values = [F.first(f"v{k}", ignorenulls=True).alias(n) for k, n in enumerate(names)]

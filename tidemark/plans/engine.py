@@ -42,18 +42,28 @@ class TsEngine:
     def chunks_by_type(self) -> DataFrame:
         return catalog.chunks_by_type(self.reader.index())
 
+    def series_chunks(self, device: str, measurement: str) -> DataFrame:
+        """The chunks of one series with their statistics, in order; an error if there is no such series."""
+        path = F.array(*map(F.lit, parse_path(device))).cast("array<string>")
+        here = (F.col("device") == path) & (F.col("measurement") == measurement)
+        kind = self.reader.index().where(here).select("type").first()
+        if kind is None:
+            raise NotFoundError(f"no measurement {measurement} of {device}")
+        return self.reader.chunks(DataType[kind[0]]).where(here).orderBy("chunk")
+
     def column_meta(self, device: str, measurements: list[str]) -> list[tuple[str, DataType]]:
         df = self.query(device, measurements)
         return [(f.name, DataType.from_spark(f.dataType)) for f in df.schema if f.name not in ("device", "time", "occ")]
 
     # Queries
 
-    def query(self, devices: str | list[str], measurements: list[str], flt: Filter | None = None) -> DataFrame:
+    def query(self, devices: str | list[str], measurements: list[str], flt: Filter | None = None, ordered: bool = True) -> DataFrame:
         """(device, time, occ, measurements...) of one device, or of several.
 
         One non-aligned measurement is a series scan, several are merged by
         time, aligned ones are a wide scan. A measurement may be asked for
-        twice. Value predicates see the first measurement.
+        twice. Value predicates see the first measurement. Rows come by device
+        and time unless ``ordered`` is false, which saves a shuffle of the result.
         """
         if not measurements:
             raise InvalidArgError("no measurements")
@@ -74,18 +84,24 @@ class TsEngine:
         if len(is_aligned) > 1:
             raise InvalidArgError("aligned and non-aligned devices in one query")
         if is_aligned == {True}:
-            return self._aligned(stored, measurements, flt)
+            return self._aligned(stored, measurements, flt, ordered)
         for m in measurements:
             found = {known[tuple(p), m] for p in paths}
             if len(found) > 1:
                 raise InvalidArgError(f"measurement {m} has several types")
             kinds.append(DataType[found.pop()])
-        legs = [self.reader.series(k).where(stored & (F.col("measurement") == m)).select("device", "time", "seq", "value") for k, m in zip(kinds, measurements)]
+        by_type: dict[DataType, list[str]] = {}
+        for k, m in zip(kinds, measurements):
+            by_type.setdefault(k, []).append(m)
+        tables = [(self.reader.series(k).where(stored), list(dict.fromkeys(names))) for k, names in by_type.items()]
         if len(measurements) == 1:
-            return scan.in_order(scan.series(legs[0], measurements[0], flt))
-        return scan.in_order(scan.merge(legs, measurements, flt))
+            m = measurements[0]
+            found = scan.series(tables[0][0].where(F.col("measurement") == m), m, flt)
+        else:
+            found = scan.merge_long(tables, measurements, flt)
+        return scan.in_order(found) if ordered else found
 
-    def _aligned(self, here, measurements: list[str], flt: Filter | None) -> DataFrame:
+    def _aligned(self, here, measurements: list[str], flt: Filter | None, ordered: bool) -> DataFrame:
         found = [self.reader.aligned(n) for n in self.reader.meta["aligned"]]
         held = [w.where(here) for w in found if all(m in w.columns for m in measurements)]
         if not held:
@@ -94,7 +110,7 @@ class TsEngine:
         rows = out[0]
         for more in out[1:]:
             rows = rows.unionByName(more)
-        return scan.in_order(rows)
+        return scan.in_order(rows) if ordered else rows
 
     @staticmethod
     def blocks(result: DataFrame, rows: int = 1024):

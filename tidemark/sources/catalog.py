@@ -30,11 +30,37 @@ def chunk_index(stored: DataFrame, kind: DataType, points: int, per_chunk: int)
     return chunks.withColumn("chunk", (F.row_number().over(order) - 1).cast("long")).drop("part").withColumn("type", F.lit(kind.name))
 
 
+def aligned_chunks(wide: DataFrame) -> list[tuple[DataType, DataFrame]]:
+    """By type: device, measurement, chunk and the statistic of each column of aligned devices, by one pass over them.
+
+    The time column is the measurement "" of type INT64; its statistic is the count of rows and their range.
+    """
+    names = [c for c in wide.columns if c not in ("device", "device_path", "time", "seq")]
+    kinds = {m: DataType.from_spark(wide.schema[m].dataType) for m in names}
+    per = [F.struct(*stats.statistic(k, f"`{m}`")).alias(f"s{i}") for i, (m, k) in enumerate(kinds.items())]
+    times = F.struct(F.count("time").alias("count"), F.min("time").alias("start_time"), F.max("time").alias("end_time")).alias("times")
+    found = wide.groupBy("device").agg(times, *per).persist()
+    out: dict[DataType, list] = {DataType.INT64: [("", "times")]}
+    for i, (m, k) in enumerate(kinds.items()):
+        out.setdefault(k, []).append((m, f"s{i}"))
+    made = []
+    for kind, columns in out.items():
+        value = kind.spark.simpleString()
+        fields = {"count": "long", "start_time": "long", "end_time": "long", "first": value, "last": value}
+        fields |= {"min": value, "max": value, "sum": "double"} if kind.ordered else {"sum": "long"} if kind is DataType.BOOLEAN else {}
+
+        def row(m, c):
+            have = found.schema[c].dataType.names
+            return F.struct(F.lit(m).alias("measurement"), F.lit(0).cast("long").alias("chunk"), *((F.col(c)[f] if f in have else F.lit(None)).cast(t).alias(f) for f, t in fields.items()))
+
+        made.append((kind, found.select("device", F.explode(F.array(*(row(m, c) for m, c in columns))).alias("r")).select("device", "r.*")))
+    return made
+
+
 def series_index(chunks: DataFrame, kind: DataType) -> DataFrame:
     """device, measurement, type, n_chunks and the statistic of the whole series."""
-    keys = ["device", "measurement"]
-    n = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_chunks"))
-    return stats.merge_stats(chunks, kind, keys, "chunk").join(n, keys).withColumn("type", F.lit(kind.name))
+    merged = chunks.groupBy("device", "measurement").agg(F.count(F.lit(1)).alias("n_chunks"), *stats.merged(kind, "chunk", "chunk"))
+    return merged.withColumn("type", F.lit(kind.name))
 
 
 def flat(index: DataFrame) -> DataFrame:

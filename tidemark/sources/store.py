@@ -1,10 +1,13 @@
 """Datasets on disk: Parquet folders for series by type, aligned devices and tables, with a catalog.
 
-    <root>/meta                        marker and version, one JSON line
-    <root>/series/type=<T>             device, device_path, measurement, time, seq, value
-    <root>/aligned/<name>              device, device_path, time, seq, columns
-    <root>/tables/<name>               time, tag and field columns; the schema is in the files
-    <root>/catalog/chunks/type=<T>     chunk statistics; .../aligned for time columns
+    <root>/meta                           the marker: a JSON line for each commit; the last one names the folders that count
+    <root>/series/type=<T>/<commit>       device, device_path, measurement, time, seq, value
+    <root>/aligned/<name>/<commit>        device, device_path, time, seq, columns
+    <root>/tables/<name>/<commit>         time, tag and field columns; the schema is in the files
+    <root>/catalog/type=<T>/<commit>      chunk statistics of series and of aligned columns, which include the time column ("")
+
+A commit writes folders of its own and then its line of the marker, so that a
+failed one leaves the dataset as it was, and no commit reads what others wrote.
 
 Rows are sorted by (device, measurement, time, seq) in files, so that row-group
 and page statistics prune by device and time, and a bloom filter on the path
@@ -14,19 +17,22 @@ answers whether a device is there.
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import display_path
+from tidemark.functions.scalars import display_path, split_quoted_path
 from tidemark.model import Category, Config, CorruptedError, DataType, InvalidArgError, Measurement, NotFoundError, Record, Registry, TableSchema, Tablet, TypeMismatchError, UnsupportedError, parse_path
-from tidemark.operators import stats
 from tidemark.sources import catalog
 
 MAGIC = "tidemark"
-VERSION = 1
+VERSION = 2
+#: What a commit may add to, and where it is kept.
+FOLDERS = {"series": "series/type={}", "aligned": "aligned/{}", "tables": "tables/{}", "chunks": "catalog/type={}"}
+PARTS = tuple(FOLDERS)
 
 
 def _path(path: str):
@@ -50,7 +56,7 @@ class Writer:
         self._frames: dict[DataType, list[DataFrame]] = {}
         self._aligned_frames: dict[str, list[DataFrame]] = {}
         self._table_frames: dict[str, list[DataFrame]] = {}
-        self._seq, self._mode, self._closed = 0, mode, False
+        self._seq, self._mode, self._closed, self._held = 0, mode, False, 0
 
     # Registration
 
@@ -74,6 +80,12 @@ class Writer:
         self._seq += 1
         return self._seq
 
+    def _hold(self, values) -> None:
+        """Count what is held; beyond a group's size it is flushed."""
+        self._held += sum(16 + (len(v) if isinstance(v, (str, bytes)) else 8) for v in values)
+        if self._held >= self.config.group_bytes:
+            self.flush()
+
     def write_record(self, record: Record) -> None:
         """Non-aligned values; nulls leave no row, names must be registered."""
         wanted = [(p, self.registry.need(record.device, p.name)) for p in record.points if p.type is not None]
@@ -84,6 +96,7 @@ class Writer:
         for p, m in wanted:
             value = p.value.encode() if m.type is DataType.TEXT and isinstance(p.value, str) else p.value
             self._legs.setdefault(m.type, []).append((parse_path(record.device), p.name, record.time, seq, value))
+        self._hold(p.value for p, _ in wanted)
 
     def write_tablet(self, tablet: Tablet) -> None:
         """Non-aligned columns; the tablet's own schemas register on the way, null cells leave no row."""
@@ -98,6 +111,7 @@ class Writer:
                     raise TypeMismatchError(known.type, m.type)
                 if value is not None:
                     self._legs.setdefault(m.type, []).append((device, m.name, row[0], seq, value))
+            self._hold(v for v in row[1:] if v is not None)
 
     def write_aligned_record(self, record: Record) -> None:
         """One row of an aligned device; registered columns that the record leaves out are null."""
@@ -108,6 +122,7 @@ class Writer:
         record.check_types({n: m.type for n, m in known.items()})
         values = {p.name: p.value for p in record.points}
         self._aligned.setdefault(record.device, []).append((record.time, self._next(), values))
+        self._hold(v for v in values.values() if v is not None)
 
     def write_series(self, df: DataFrame, kind: DataType) -> None:
         """A distributed long table: device (path or segments), measurement, time, seq, value."""
@@ -142,11 +157,13 @@ class Writer:
 
     # Commit
 
-    def _out(self, df: DataFrame, path: str) -> None:
-        writer = df.write.mode("append" if self._mode == "append" else "overwrite")
+    def _out(self, df: DataFrame, *where: str) -> str:
+        path = "/".join([self.root, *where])
+        writer = df.write
         for k, v in self.config.parquet_options().items():
             writer = writer.option(k, v)
         writer.parquet(path)
+        return path
 
     def close(self) -> None:
         """Commit what is left and end the writer."""
@@ -154,16 +171,29 @@ class Writer:
         self._closed = True
 
     def flush(self) -> None:
-        """Commit all that was collected, the catalog and the marker; later rows append to it."""
+        """Commit all that was collected, its catalog and the marker; later rows append to it."""
         if self._closed:
             raise InvalidArgError("the writer is closed")
         self._commit()
         self._legs, self._aligned, self._frames, self._aligned_frames, self._table_frames = {}, {}, {}, {}, {}
-        self._mode = "append"
+        self._mode, self._held = "append", 0
 
     def _commit(self) -> None:
-        kinds = {**self._legs, **self._frames}
-        for kind in kinds:
+        try:
+            before = read_meta(self.spark, self.root)
+        except (NotFoundError, CorruptedError):
+            before = {"number": 0}
+        fresh = self._mode != "append"
+        meta = {"magic": MAGIC, "version": VERSION, "number": before["number"] + 1} | {k: {} if fresh else {n: list(c) for n, c in before.get(k, {}).items()} for k in PARTS}
+        commit = f"{meta['number']:06d}-{uuid.uuid4().hex[:8]}"
+
+        def stored(part: str, name: str, label: str, df: DataFrame) -> DataFrame:
+            path = self._out(df, FOLDERS[part].format(name), label)
+            meta[part].setdefault(name, []).append(label)
+            return self.spark.read.parquet(path)
+
+        number = F.lit(meta["number"]).alias("commit")
+        for kind in {**self._legs, **self._frames}:
             parts = [_segments(f) for f in self._frames.get(kind, [])]
             if kind in self._legs:
                 struct = f"device array<string>, measurement string, time long, seq long, value {kind.spark.simpleString()}"
@@ -172,53 +202,51 @@ class Writer:
             rows = rows.withColumn("device_path", display_path(F.col("device")))
             # Ranges keep a device's rows together and split one that is too large for a task.
             rows = rows.repartitionByRange("device", "measurement", "time", "seq").sortWithinPartitions("device", "measurement", "time", "seq")
-            self._out(rows, f"{self.root}/series/type={kind.name}")
-            stored = self.spark.read.parquet(f"{self.root}/series/type={kind.name}").withColumn("part", F.col("_metadata.file_name"))
-            chunks = catalog.chunk_index(stored, kind, self.config.page_points, 8)
-            chunks.drop("type").write.mode("overwrite").parquet(f"{self.root}/catalog/chunks/type={kind.name}")
+            found = stored("series", kind.name, commit, rows).withColumn("part", F.col("_metadata.file_name"))
+            chunks = catalog.chunk_index(found, kind, self.config.page_points, 8).drop("type")
+            stored("chunks", kind.name, commit, chunks.select("*", number))
         for device, known in self._aligned_schemas.items():
             rows = self._aligned.get(device, [])
-            if not rows and self._mode == "append":
+            if not rows and not fresh:
                 continue
             columns = sorted(known)
             struct = "device array<string>, time long, seq long, " + ", ".join(f"`{c}` {known[c].type.spark.simpleString()}" for c in columns)
             data = [(parse_path(device), t, seq, *(values.get(c) for c in columns)) for t, seq, values in rows]
             self._aligned_frames.setdefault(device.replace("/", "_"), []).append(self.spark.createDataFrame(data, struct))
-        for name, frames in self._aligned_frames.items():
+        for k, (name, frames) in enumerate(self._aligned_frames.items()):
             rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(_segments, frames))
             rows = rows.withColumn("device_path", display_path(F.col("device")))
-            self._out(rows.repartitionByRange("device", "time", "seq").sortWithinPartitions("device", "time", "seq"), f"{self.root}/aligned/{name}")
+            found = stored("aligned", name, commit, rows.repartitionByRange("device", "time", "seq").sortWithinPartitions("device", "time", "seq"))
+            for kind, chunks in catalog.aligned_chunks(found):
+                stored("chunks", kind.name, f"{commit}-{k}", chunks.select("*", number))
         for name, schema in self._tables.items():
             frames = self._table_frames.get(name, [])
-            if not frames and self._mode == "append" and self._has_table(name):
+            if not frames and name in meta["tables"]:
                 continue
             order = [c.name for c in schema.columns if c.category is Category.TAG] + ["time"]
             names = ["time", *(c.name for c in schema.columns)]
             empty = self.spark.createDataFrame([], schema.struct())
             rows = reduce(DataFrame.unionByName, (f.select(*names) for f in frames), empty)
             rows = rows.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema.struct()))
-            self._out(rows.repartitionByRange(*order).sortWithinPartitions(*order), f"{self.root}/tables/{name}")
-        meta = {"magic": MAGIC, "version": VERSION, "types": sorted(k.name for k in kinds), "aligned": sorted(self._aligned_frames), "tables": sorted(self._tables)}
-        if self._mode == "append":
-            try:
-                before = read_meta(self.spark, self.root)
-                meta |= {k: sorted({*before[k], *meta[k]}) for k in ("types", "aligned", "tables")}
-            except (NotFoundError, CorruptedError):
-                pass
-        self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/meta")
-
-
-    def _has_table(self, name: str) -> bool:
-        try:
-            return name in read_meta(self.spark, self.root)["tables"]
-        except (NotFoundError, CorruptedError):
-            return False
+            stored("tables", name, commit, rows.repartitionByRange(*order).sortWithinPartitions(*order))
+        self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/meta")
+        if fresh:
+            self._drop(before)
+
+    def _drop(self, before: dict) -> None:
+        """Remove the folders of a dataset that this one has replaced."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for part in PARTS:
+            for name, commits in before.get(part, {}).items():
+                for c in commits:
+                    at = jvm.org.apache.hadoop.fs.Path("/".join([self.root, FOLDERS[part].format(name), c]))
+                    at.getFileSystem(conf).delete(at, True)
 
 
 def _segments(df: DataFrame) -> DataFrame:
-    """The device as segments, if it is given as an unquoted path."""
+    """The device as segments, if it is given as a path, which may quote dots."""
     if df.schema["device"].dataType.typeName() != "array":
-        df = df.withColumn("device", F.split("device", "[.]"))
+        df = df.withColumn("device", split_quoted_path(F.col("device")))
     return df
 
 
@@ -229,14 +257,15 @@ def unpivoted(df: DataFrame, measurements: list[str], value: str = "value") -> D
 
 
 def read_meta(spark: SparkSession, root: str) -> dict:
-    """The marker of a dataset; an error if there is none or it is of another kind or version."""
+    """The last line of a dataset's marker; an error if there is none or it is of another kind or version."""
     try:
-        lines = spark.read.text(f"{root}/meta").collect()  # one line
+        lines = spark.read.text(f"{root}/meta").collect()  # a line for each commit
     except AnalysisException:
         raise NotFoundError(f"no dataset at {root}") from None
     try:
-        meta = json.loads(lines[0][0])
-    except (ValueError, IndexError):
+        found = [json.loads(r[0]) for r in lines]
+        meta = max(found, key=lambda m: m.get("number", 0))
+    except (ValueError, AttributeError):
         raise CorruptedError(f"unreadable marker of {root}") from None
     if meta.get("magic") != MAGIC:
         raise CorruptedError(f"{root} holds no dataset of this engine")
@@ -246,7 +275,7 @@ def read_meta(spark: SparkSession, root: str) -> dict:
 
 
 class Reader:
-    """A dataset's tables and catalog."""
+    """A dataset's tables and catalog, as they were when it was opened."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -255,38 +284,39 @@ class Reader:
 
     @property
     def types(self) -> list[DataType]:
-        return [DataType[t] for t in self.meta["types"]]
+        return [DataType[t] for t in self.meta["series"]]
+
+    def _read(self, part: str, name: str) -> DataFrame:
+        paths = ["/".join([self.root, FOLDERS[part].format(name), c]) for c in self.meta[part][name]]
+        return self.spark.read.option("mergeSchema", str(part == "aligned" and len(paths) > 1).lower()).parquet(*paths)
 
     def series(self, kind: DataType) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/series/type={kind.name}")
+        return self._read("series", kind.name)
 
     def aligned(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/aligned/{name}")
+        return self._read("aligned", name)
 
     def table(self, name: str) -> DataFrame:
         if name not in self.meta["tables"]:
             raise NotFoundError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.root}/tables/{name}")
+        return self._read("tables", name)
 
     def table_schema(self, name: str) -> TableSchema:
         return TableSchema.from_struct(name, self.table(name).schema)
 
     def chunks(self, kind: DataType) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/catalog/chunks/type={kind.name}")
+        """device, measurement, chunk and its statistic; chunks of all commits are numbered by their start."""
+        order = Window.partitionBy("device", "measurement").orderBy("start_time", "commit", "chunk")
+        return self._read("chunks", kind.name).withColumn("chunk", (F.row_number().over(order) - 1).cast("long")).drop("commit")
 
     def index(self) -> DataFrame:
-        """All series: device, measurement, type, n_chunks and the statistic with values as text. Cached: it is small next to the data."""
+        """All series: device, measurement, type, n_chunks and the statistic with values as text.
+
+        It is merged from the stored chunk statistics; no data are read. Cached: it is small next to the data.
+        """
         if self._index is None:
             struct = "device array<string>, measurement string, type string, n_chunks long, count long, start_time long, end_time long, first string, last string, min string, max string, sum string"
             parts = [self.spark.createDataFrame([], struct)]
-            parts += [catalog.flat(catalog.series_index(self.chunks(k), k)) for k in self.types]
-            for name in self.meta["aligned"]:
-                wide = self.aligned(name)
-                times = stats.time_stats(wide, ["device"]).withColumn("n_chunks", F.lit(1).cast("long")).withColumn("measurement", F.lit("")).withColumn("type", F.lit("INT64"))
-                parts.append(catalog.flat(times))
-                for m in (c for c in wide.columns if c not in ("device", "device_path", "time", "seq")):
-                    kind = DataType.from_spark(wide.schema[m].dataType)
-                    legs = wide.select("device", F.lit(m).alias("measurement"), "time", "seq", F.col(f"`{m}`").alias("value"))
-                    parts.append(catalog.flat(stats.series_stats(legs, kind, ["device", "measurement"]).withColumn("n_chunks", F.lit(1).cast("long")).withColumn("type", F.lit(kind.name))))
+            parts += [catalog.flat(catalog.series_index(self.chunks(k), k)) for k in map(DataType.__getitem__, self.meta["chunks"])]
             self._index = reduce(DataFrame.unionByName, (p.select(*parts[0].columns) for p in parts)).cache()
         return self._index
