@@ -372,3 +372,51 @@ def test_streaming_ingest(spark, tmp_path):
     r = ingest.folded(spark.read.parquet(f"{out}/stats"), DataType.INT64).where("device = 'd'").first()
     assert (r["count"], r.start_time, r.end_time, r["first"], r["last"], r.min, r.max, r["sum"]) == (3, 5, 20, 9, 6, 5, 9, 20.0)
     assert spark.read.parquet(f"{out}/data").count() == 3
+
+
+def test_writers_flush_by_themselves(spark, tmp_path):
+    root = f"file://{tmp_path}/auto"
+    w = Writer(spark, root, Config(group_bytes=24 * 20))
+    w.register("root.d", Measurement("m", DataType.INT64))
+    for i in range(45):
+        w.write_record(Record("root.d", i).add("m", DataType.INT64, i))
+    assert TsEngine.open(spark, root).query("root.d", ["m"]).count() == 40
+    w.close()
+    e = TsEngine.open(spark, root)
+    chunks = e.series_chunks("root.d", "m").collect()
+    assert [(r.chunk, r["count"], r["first"]) for r in chunks] == [(0, 20, 0), (1, 20, 20), (2, 5, 40)]
+    with pytest.raises(NotFoundError):
+        e.series_chunks("root.d", "none")
+
+
+def test_a_failed_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/failed"
+    frame = lambda n: spark.range(n).selectExpr("'root.`a.b`' device", "'m' measurement", "id time", "id seq", "id value")
+    w = Writer(spark, root)
+    w.write_series(frame(10), DataType.INT64)
+    w.close()
+    from tidemark.sources import catalog
+
+    again = Writer(spark, root)
+    again.write_series(frame(3), DataType.INT64)
+    with monkeypatch.context() as m:
+        m.setattr(catalog, "chunk_index", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            again.close()
+    assert TsEngine.open(spark, root).query("root.`a.b`", ["m"]).count() == 10
+    again.close()
+    assert TsEngine.open(spark, root).query("root.`a.b`", ["m"]).count() == 3 and TsEngine.open(spark, root).totals().first()["points"] == 3
+
+
+def test_a_merge_scans_a_type_once(stored, spark):
+    explain = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    e = stored[0]
+    plan = explain(e.query("root.sg.dual", ["m1", "m2", "m1"], ordered=False))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == 1
+
+
+def test_other_types_have_no_differences(spark):
+    from tidemark.model import UnsupportedError
+
+    with pytest.raises(UnsupportedError):
+        codecs.ts2diff(legs(spark, [(1, 1, "a")], "string"), ["device"])

@@ -558,6 +558,82 @@ def enc_plain_size(spark, sf_dir):
     return e.groupBy("event_type").agg(F.sum(codecs.plain_bytes(DataType.STRING, "props")).cast("long").alias("plain_bytes"), F.sum(codecs.plain_bytes(DataType.DOUBLE)).cast("long").alias("value_bytes"))
 
 
+# Encodings of each type of number: values that wrap, and floating ones by their bits
+
+_WRAP32 = "(((({0}) + 2147483648) & 4294967295) - 2147483648)::INTEGER"
+_NUMBERS = {
+    "i32": (DataType.INT32, _WRAP32.format("event_id * 1000003 * 1009"), "((event_id * 1000003 * 1009 + 2147483648) & 4294967295) - 2147483648", "value::BIGINT"),
+    "i64": (DataType.INT64, "event_id * 1000003 - 7", "event_id * 1000003 - 7", "value::BIGINT"),
+    "f32": (DataType.FLOAT, "CAST(value AS FLOAT)", "value", "value::FLOAT::BIT::INTEGER::BIGINT"),
+    "f64": (DataType.DOUBLE, "value", "value", "value::DOUBLE::BIT::BIGINT"),
+}
+
+
+def _number_legs(spark, sf_dir, name):
+    kind, _, made, _ = _NUMBERS[name]
+    e = _read(spark, sf_dir, "events").withColumn("value", F.expr(made).cast(kind.spark))
+    return e.select((F.col("user_id") % 40).alias("device"), _micros("ts").alias("time"), F.col("event_id").alias("seq"), "value")
+
+
+def _number_sql(name):
+    _, made, _, bits = _NUMBERS[name]
+    return f"(SELECT *, {bits} AS bits FROM (SELECT user_id % 40 AS device, epoch_us(ts) AS time, event_id AS seq, {made} AS value FROM events))"
+
+
+def _register_numbers(name: str) -> None:
+    kind = _NUMBERS[name][0]
+    wide = kind in (DataType.INT64, DataType.DOUBLE)
+    wrap = (lambda x: f"(CASE WHEN ({x}) > 9223372036854775807 THEN ({x}) - 18446744073709551616 WHEN ({x}) < -9223372036854775808 THEN ({x}) + 18446744073709551616 ELSE ({x}) END)::BIGINT") if wide else (lambda x: _WRAP32.format(x))
+    number = "HUGEINT" if wide else "BIGINT"
+    source, over = _number_sql(name), "OVER (PARTITION BY device ORDER BY time, seq)"
+    delta = f"(SELECT *, {wrap(f'bits::{number} - before::{number}')} AS delta FROM (SELECT *, lag(bits) {over} AS before, row_number() {over} AS rn FROM {source}))"
+    own = "BIGINT" if wide else "INTEGER"
+
+    def encode(spark, sf_dir):
+        return codecs.ts2diff(_number_legs(spark, sf_dir, name), ["device"]).select("device", "time", "seq", "first", "delta", "delta_of_delta")
+
+    QUERIES[f"enc_ts2diff_{name}"] = encode
+    ORACLES[f"enc_ts2diff_{name}"] = f"SELECT device, time, seq, CASE WHEN rn = 1 THEN bits::{own} END AS first, delta, {wrap(f'delta::{number} - earlier::{number}')} AS delta_of_delta FROM (SELECT *, lag(delta) {over} AS earlier FROM {delta})"
+    plain = f"SELECT device, time, seq, value FROM {source}"
+
+    def decode(spark, sf_dir):
+        coded = codecs.ts2diff(_number_legs(spark, sf_dir, name), ["device"]).drop("value")
+        return codecs.ts2diff_decode(coded, ["device"], kind).select("device", "time", "seq", "value")
+
+    QUERIES[f"dec_ts2diff_{name}"] = decode
+    ORACLES[f"dec_ts2diff_{name}"] = plain
+
+    def encode_xor(spark, sf_dir):
+        legs = codecs.with_bits(_number_legs(spark, sf_dir, name))
+        return codecs.xor_previous(legs, ["device"]).select("device", "time", "seq", "xor")
+
+    QUERIES[f"enc_gorilla_{name}"] = encode_xor
+    ORACLES[f"enc_gorilla_{name}"] = f"SELECT device, time, seq, (CASE WHEN before IS NULL THEN bits ELSE xor(bits, before) END)::{own} AS xor FROM (SELECT *, lag(bits) {over} AS before FROM {source})"
+
+    def decode_xor(spark, sf_dir):
+        coded = codecs.xor_previous(codecs.with_bits(_number_legs(spark, sf_dir, name)), ["device"]).drop("bits", "value")
+        return codecs.xor_decode(coded, ["device"]).withColumn("value", codecs.of_bits("bits", kind)).select("device", "time", "seq", "value")
+
+    QUERIES[f"dec_gorilla_{name}"] = decode_xor
+    ORACLES[f"dec_gorilla_{name}"] = plain
+
+    def decode_sprintz(spark, sf_dir):
+        heads, blocks = codecs.sprintz(_number_legs(spark, sf_dir, name), ["device"])
+        return codecs.sprintz_decode(heads, blocks, ["device"], kind)
+
+    QUERIES[f"dec_sprintz_{name}"] = decode_sprintz
+    ORACLES[f"dec_sprintz_{name}"] = f"SELECT device, row_number() {over} - 1 AS seq, value FROM {source}"
+
+
+for _name in _NUMBERS:
+    _register_numbers(_name)
+
+
+@_query(f"SELECT device, row_number() OVER (PARTITION BY device ORDER BY time, seq) - 1 AS seq, bits AS value FROM {_LN}")
+def dec_bitpack(spark, sf_dir):
+    return codecs.unpack(codecs.pack(_bits(spark, sf_dir), ["device"], "bits"), ["device"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.in_order(merge_five(spark, sf_dir))
 
