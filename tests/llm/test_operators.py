@@ -493,6 +493,25 @@ def test_reputation_blocks_only_what_is_surely_bad(spark):
     assert found == {"bad.example.com": "block", "fine.example.com": "allow", "few.example.com": "allow", "other.org": "allow", "none.net": "allow"}
 
 
+def test_many_rules_meet_hosts_in_a_join(spark):
+    rng = random.Random(31)
+    label = lambda: rng.choice(["a", "b", "com", "net", "x"])
+    host = lambda: ".".join(label() for _ in range(rng.randrange(1, 4)))
+    path = lambda: "/" + "/".join(rng.choice(["", "e", "en", "7"]) for _ in range(rng.randrange(3)))
+    rules = [url_filter.Rule(v, h, p) for (h, p), v in {(host(), path()): rng.choice(["block", "allow"]) for _ in range(60)}.items()]
+    rows = spark.createDataFrame([(k, host() if k % 20 else "", path()) for k in range(400)], "page_id long, host string, path string")
+    few, many = (sorted(map(tuple, url_filter.with_rule(rows, rules, common.Scratch(), most).select("page_id", "rule", "ruled").collect())) for most in (500, 5))
+    assert [(k, bool(r)) for k, r, _ in few] == [(k, bool(r)) for k, r, _ in many] and sum(r is not None for _, r, _ in few) > 50
+    size = {r.name: len(r.name) for r in rules}
+    assert all(a == b or size[a[1]] == size[b[1]] for a, b in zip(few, many))
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "x.example.com": "example.com", "me.github.io": "me.github.io", "github.io": "github.io", "x.me.github.io": "me.github.io", "localhost": "localhost", "a.b.ne.jp": "b.ne.jp"}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", F.expr(url_filter.domain_sql("host")).alias("d")).collect()
+    assert {r.host: r.d for r in rows} == hosts
+
+
 def test_lower_bound_is_near_the_beta_quantile(spark):
     rng = np.random.default_rng(1)
     for a, b in ((3.0, 9.0), (40.0, 5.0), (0.7, 2.0), (500.0, 900.0)):

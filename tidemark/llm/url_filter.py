@@ -15,17 +15,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, join_dealt
 
 #: A host is blocked if its rate of bad pages is above this with the given normal quantile of certainty.
 LIMIT = 0.5
 QUANTILE = 1.645
 #: Bounds of the estimated overdispersion.
 LEAST_RHO, MOST_RHO = 0.0001, 0.9
-#: Rules are tried one by one in an expression.
+#: So many rules are tried one by one in an expression; more of them meet the hosts in a join.
 MOST_RULES = 500
-#: Second-level names that belong to the suffix under a two-letter country.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Second-level names that belong to the suffix under a two-letter country. Fixed values.
+SECOND_LEVEL = tuple("ac co com edu gob gouv gov go id ltd me mil ne net nhs nom or org plc police sch".split())
+#: Suffixes of hosting services, under which each name is a tenant's own. Fixed values.
+HOSTING = tuple(
+    "appspot.com azurewebsites.net blogspot.com cloudfront.net firebaseapp.com fly.dev github.io gitlab.io herokuapp.com netlify.app"
+    " ngrok.io onrender.com pages.dev readthedocs.io s3.amazonaws.com surge.sh tumblr.com vercel.app web.app weebly.com wixsite.com wordpress.com".split()
+)
 
 
 @dataclass(frozen=True)
@@ -55,21 +60,51 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def _order(rule: Rule) -> tuple:
+    """Rules from the shortest: by host and path together, then by host, then by name."""
+    return len(rule.name), len(rule.host), rule.name
+
+
 def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits (host and path together; then the longer host) and its verdict, or nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.name), len(r.host), r.name)):
+    for r in sorted(rules, key=_order):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         name, verdict = F.when(fits, r.name).otherwise(name), F.when(fits, r.verdict).otherwise(verdict)
     return name, verdict
 
 
+def with_rule(rows: DataFrame, rules, put: Scratch, most: int = MOST_RULES) -> DataFrame:
+    """Add rule and ruled (its verdict) to rows with host and path. ``rules`` are a list, or a table of verdict, host and path.
+
+    Beyond ``most`` rules each distinct host's own and parent names meet the
+    rules' hosts in a join; a host then carries the rules that may fit it, the
+    longest first, and each row takes the first whose path fits.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= most:
+            name, verdict = matched(F.col("host"), F.col("path"), rules)
+            return rows.withColumn("rule", name).withColumn("ruled", verdict)
+        rules = rows.sparkSession.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    rules = rules.where("host is not null and path is not null").select("verdict", F.col("host").alias("parent"), F.col("path").alias("begin"))
+    name = F.concat("parent", "begin")
+    rules = rules.select("parent", F.struct((-F.length(name)).alias("a"), (-F.length("parent")).alias("b"), name.alias("rule"), "begin", "verdict").alias("r"))
+    hosts = put(rows.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+    labels = F.split("host", "[.]")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    own = hosts.select("host", F.explode(parents).alias("parent")).join(rules, "parent").groupBy("host").agg(F.array_sort(F.collect_list("r")).alias("rules"))
+    own = put(own)
+    found = join_dealt(rows, own, ["host"], hosts, "page_id", "left")
+    first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["begin"])), F.lit(0))
+    return found.withColumn("rule", first["rule"]).withColumn("ruled", first["verdict"]).drop("rules")
+
+
 def domain_sql(host: str) -> str:
-    """SQL for the registered domain: the last two labels, or three under a country's second level."""
+    """SQL for the registered domain: the suffix and the label before it. Suffixes have one label, two under a country's second level or of a hosting service."""
     second = ", ".join(f"'{s}'" for s in SECOND_LEVEL)
-    return f"CASE WHEN regexp_extract({host}, '([^.]*)[.][a-z][a-z]$', 1) IN ({second}) THEN regexp_extract({host}, '([^.]*[.][^.]*[.][^.]*|[^.]*[.][^.]*)$', 1) WHEN regexp_extract({host}, '([^.]*[.][^.]*)$', 1) <> '' THEN regexp_extract({host}, '([^.]*[.][^.]*)$', 1) ELSE {host} END"
+    hosting = "|".join(s.replace(".", "[.]") for s in HOSTING)
+    tenant = f"regexp_extract({host}, '(?:^|[.])([^.]+[.](?:{hosting}))$', 1)"
+    return f"CASE WHEN {tenant} <> '' THEN {tenant} WHEN regexp_extract({host}, '([^.]*)[.][a-z][a-z]$', 1) IN ({second}) THEN regexp_extract({host}, '([^.]*[.][^.]*[.][^.]*|[^.]*[.][^.]*)$', 1) WHEN regexp_extract({host}, '([^.]*[.][^.]*)$', 1) <> '' THEN regexp_extract({host}, '([^.]*[.][^.]*)$', 1) ELSE {host} END"
 
 
 def suffix_sql(domain: str) -> str:
@@ -99,18 +134,19 @@ RHO_SQL = "coalesce(sum((bad - n * above) * (bad - n * above) - n * above * (1 -
 KAPPA_SQL = f"1 / greatest({LEAST_RHO}, least({MOST_RHO}, rho)) - 1"
 
 
-def _level(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+def _level(children: DataFrame, parents: DataFrame, key: str, put: Scratch) -> DataFrame:
     """Posterior means of a level: children have n, bad and the parent's key; parents have the key, a mean and their own n.
 
     A parent counts for no more labels than it has.
     """
-    rows = children.join(parents.withColumnRenamed("n", "n_above"), key).withColumnRenamed("mean", "above")
+    counts = put(children.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    rows = put(join_dealt(children, parents.withColumnRenamed("n", "n_above"), [key], counts, children.columns[0]).withColumnRenamed("mean", "above"))
     kappa = rows.agg(F.expr(RHO_SQL).alias("rho")).select(F.expr(KAPPA_SQL).alias("kappa"))
     strength = kappa.first()["kappa"]  # one number
     return rows.withColumn("kappa", F.least(F.lit(float(strength)), F.col("n_above") + 1)).withColumn("mean", F.expr("(bad + kappa * above) / (n + kappa)"))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, put: Scratch | None = None) -> DataFrame:
     """host, n, bad, above (the domain's rate), kappa, mean and lower for every host of ``outcomes``.
 
     ``outcomes`` has host and bad (1, 0, or null for pages without a label).
@@ -118,15 +154,18 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     hosts = hosts.withColumn("domain", F.expr(domain_sql("host"))).withColumn("suffix", F.expr(suffix_sql("domain")))
-    hosts, _ = written(hosts)
+    put = put or Scratch()
+    hosts = put(hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = put(domains)
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit(1))
+    suffixes = put(suffixes)
     root = suffixes.groupBy("root").agg(F.expr(ROOT_SQL).alias("mean"), F.sum("n").alias("n"))
     if hosts.isEmpty():
         return hosts.select("host", "n", "bad", *(F.lit(0.0).alias(c) for c in ("above", "kappa", "mean", "lower")))
-    suffix_means = _level(suffixes, root, "root").select("suffix", "mean", "n")
-    domain_means = _level(domains, suffix_means, "suffix").select("domain", "mean", "n")
-    out = _level(hosts, domain_means, "domain")
+    suffix_means = _level(suffixes, root, "root", put).select("suffix", "mean", "n")
+    domain_means = _level(domains, suffix_means, "suffix", put).select("domain", "mean", "n")
+    out = _level(hosts, domain_means, "domain", put)
     bound = lower_bound_sql("(bad + kappa * above)", "(n - bad + kappa * (1 - above))")
     return out.select("host", "n", "bad", "above", "kappa", "mean", F.expr(f"1 / (1 + exp(-{bound}))").alias("lower"))
 
@@ -142,8 +181,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     known = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("bad").cast("int").alias("bad")).where("bad is not null")
-    ranked = reputation(rows.select("page_id", "host").join(known, "page_id", "left").select("host", "bad"))
-    blocked, _ = written(ranked.where(F.col("lower") > limit).select(F.col("host").alias("blocked_host")))
-    name, verdict = matched(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("blocked_host").isNotNull(), "block").otherwise("allow")
-    return rows.join(blocked, F.col("host") == F.col("blocked_host"), "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
+    put = Scratch()
+    counts = put(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+    ranked = reputation(rows.select("page_id", "host").join(known, "page_id", "left").select("host", "bad"), put)
+    blocked = put(ranked.where(F.col("lower") > limit).select("host", F.lit(True).alias("blocked")))
+    ruled = with_rule(rows, rules, put)
+    own = F.when(F.col("blocked"), "block").otherwise("allow")
+    out = put(join_dealt(ruled, blocked, ["host"], counts, "page_id", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict")))
+    put.end(out)
+    return out
