@@ -76,6 +76,8 @@ class Scratch:
         for t in tables:
             _, path = self._paths.pop(id(t))
             drop_path(t.sparkSession, path)
+        if tables:  # Spark's cleaner removes a finished plan's shuffle files once the driver has collected the plan
+            tables[0].sparkSession.sparkContext._jvm.System.gc()
 
     def end(self, *still_read: DataFrame) -> None:
         self.drop(*(t for k, (t, _) in list(self._paths.items()) if k not in set(map(id, still_read))))

@@ -316,7 +316,8 @@ def keep(docs: DataFrame) -> DataFrame:
     """
     put = Scratch()
     signed, judged = _judged(docs, put, True)
-    dropped = judged.where("uid <> first").select("uid")
+    dropped = put(judged.where("uid <> first").select("uid"))
+    put.drop(judged)
     rows = signed.join(dropped, "uid", "left_anti")
     carried = {f.name for f in signed.schema["row"].dataType}
     out = put(rows.select(*(F.col("row").getField(c).alias(c) if c in carried else F.col("text").cast("string").alias(c) for c in docs.columns)))
