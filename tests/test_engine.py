@@ -195,6 +195,20 @@ def test_every_codec_is_written(spark, tmp_path, codec):
     assert TsEngine.open(spark, f"file://{tmp_path}/c").query("d", ["m"]).count() == 30
 
 
+def test_filters_read_stored_dictionaries(spark):
+    """At this size the values are stored as a dictionary, which the reader asks before it reads a row group."""
+    import duckdb
+
+    from tidemark.plans import store_slate
+
+    sf_dir = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    want = duck.execute(store_slate.ORACLES["store_series_filter"]).df().sort_values("seq")
+    found = store_slate.QUERIES["store_series_filter"](spark, sf_dir).toPandas().sort_values("seq")
+    assert found[["device", "time", "seq", "view"]].values.tolist() == want[["device", "time", "seq", "view"]].values.tolist()
+
+
 def merge_by_hand(streams):
     heads, out = [0] * len(streams), []
     while any(h < len(s) for h, s in zip(heads, streams)):

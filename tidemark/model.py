@@ -124,8 +124,11 @@ class Compression(_Coded):
 
     @property
     def parquet(self) -> str:
-        """Parquet's codec; LZO is kept as a name and stored uncompressed."""
-        return {"UNCOMPRESSED": "uncompressed", "SNAPPY": "snappy", "GZIP": "gzip", "LZO": "uncompressed", "LZ4": "lz4_raw"}[self.name]
+        """Parquet's codec; LZO is kept as a name and stored uncompressed.
+
+        LZ4 is the framed form: Spark's reader at times fails on dictionaries in the raw one.
+        """
+        return {"UNCOMPRESSED": "uncompressed", "SNAPPY": "snappy", "GZIP": "gzip", "LZO": "uncompressed", "LZ4": "lz4"}[self.name]
 
 
 class Category(_Coded):
